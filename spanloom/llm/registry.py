@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, url_filters
+from . import mixing, near_dedup, quality_rules, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages"))
 
@@ -24,5 +28,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.STATS, "base_failed", "kept", "posterior")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op6_url_filters, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_near_dedup, op6_url_filters, op7_quality_rules)}
 ORACLES = {"op1_mixing": mixing.ORACLE_SQL, "op6_url_filters": url_filters.ORACLE_SQL}
