@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, quality_rules, url_filters
+from . import mixing, near_dedup, packing, quality_rules, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,5 +28,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.STATS, "base_failed", "kept", "posterior")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_near_dedup, op6_url_filters, op7_quality_rules)}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_near_dedup, op6_url_filters, op7_quality_rules, op8_packing)}
 ORACLES = {"op1_mixing": mixing.ORACLE_SQL, "op6_url_filters": url_filters.ORACLE_SQL}
