@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, packing, quality_rules, url_filters
+from . import mixing, near_dedup, packing, quality_classifier, quality_rules, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
 
@@ -32,5 +37,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_near_dedup, op6_url_filters, op7_quality_rules, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_near_dedup, op6_url_filters, op7_quality_rules, op8_packing)}
 ORACLES = {"op1_mixing": mixing.ORACLE_SQL, "op6_url_filters": url_filters.ORACLE_SQL}

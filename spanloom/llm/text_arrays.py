@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,7 @@ class Words:
         """The number of the text of each word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
+    @cached_property
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, lower-cased."""
         n = len(self.starts)
@@ -116,7 +118,7 @@ def shingles(found: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
     A text of fewer words gives its whole sequence as one; a text without words none.
     """
-    h, n = found.hashes(), found.counts
+    h, n = found.hashes, found.counts
     factor = _mixed(np.arange(1, size + 1, dtype=np.uint64))
     many = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     first = np.concatenate([[0], np.cumsum(many)])
