@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, packing, quality_classifier, quality_rules, url_filters
+from . import chat_formatting, media, mixing, near_dedup, packing, quality_classifier, quality_rules, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(_table(spark, sf_dir, "pages")).filter("kind = 'record'")
+    number = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
+    return found.select(number("record_id").alias("page_id"), F.col("content_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages"))
 
@@ -37,5 +44,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_near_dedup, op6_url_filters, op7_quality_rules, op8_packing)}
-ORACLES = {"op1_mixing": mixing.ORACLE_SQL, "op6_url_filters": url_filters.ORACLE_SQL}
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.array_join(F.transform("mask", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
+    return chat_formatting.rotate(_table(spark, sf_dir, "conversations")).withColumn("mask", mask)
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(_table(spark, sf_dir, "documents"))).drop("landmarks")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_near_dedup, op5_warc, op6_url_filters, op7_quality_rules, op8_packing, op9_chat_formatting, op10_media)}
+ORACLES = {"op1_mixing": mixing.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op6_url_filters": url_filters.ORACLE_SQL, "op9_chat_formatting": chat_formatting.ORACLE_SQL}
