@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_formatting, media, mixing, near_dedup, packing, quality_classifier, quality_rules, url_filters, warc
+from . import chat_formatting, lm_scoring, media, mixing, near_dedup, packing, quality_classifier, quality_rules, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archived(_table(spark, sf_dir, "pages")).filter("kind = 'record'")
     number = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
@@ -53,5 +57,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(_table(spark, sf_dir, "documents"))).drop("landmarks")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_near_dedup, op5_warc, op6_url_filters, op7_quality_rules, op8_packing, op9_chat_formatting, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_near_dedup, op4_lm_scoring, op5_warc, op6_url_filters, op7_quality_rules, op8_packing, op9_chat_formatting, op10_media)}
 ORACLES = {"op1_mixing": mixing.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op6_url_filters": url_filters.ORACLE_SQL, "op9_chat_formatting": chat_formatting.ORACLE_SQL}
