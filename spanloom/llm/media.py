@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column, written
 
@@ -132,5 +133,4 @@ def features(media: DataFrame) -> DataFrame:
                 columns = list(zip(*(_feature(x.as_py()) for x in part.column(len(others))), strict=True))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*others, *names])
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    return base.mapInArrow(measured, f"{own}, {FEATURES}" if own else FEATURES)
+    return base.mapInArrow(measured, T.StructType([*base.schema.fields[:-1], *T.StructType.fromDDL(FEATURES).fields]))

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column
 
@@ -223,8 +224,7 @@ def pack(docs: DataFrame, width: int = WIDTH, carry: list[str] = ()) -> DataFram
     """doc_id, the carried columns and a row for each piece: start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     names = ["doc_id", *[c for c in carry if c != "doc_id"]]
     base = docs.select(column(docs, "doc_id", "long").alias("doc_id"), *[F.col(f"`{c}`") for c in names[1:]], column(docs, "text", "string").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    schema = f"{kinds}, " + ", ".join(f"{x} long" for x in PIECES.names)
+    schema = T.StructType([*base.schema.fields[:-1], *(T.StructField(x, T.LongType()) for x in PIECES.names)])
     return base.mapInArrow(lambda x: _packed(names, width, x), schema)
 
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column, held_out
 from .text_arrays import shingles, slices, texts, words
@@ -226,6 +227,5 @@ def classify(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, carry:
             score = trees.score(statistics(batch.column(len(names))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*names, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    out = base.mapInArrow(scored, f"{kinds}, score double")
+    out = base.mapInArrow(scored, T.StructType([*base.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
     return out.select("doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), *[F.col(f"`{c}`") for c in names[1:]])
