@@ -1,6 +1,397 @@
-"""Registered queries and the SQL each must equal."""
+"""Registered queries of the engine and the SQL that each must equal; every query reads whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import checks
+from .functions.text import scrubbed, windows
+from .operators import analytics, detect, evaluate, memory, merge, rewrite
+from .operators.rules import PORTABLE, catalogue
+from .sources import files, tabular
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+#: Rules whose spans never overlap.
+APART = [r for r in PORTABLE if r.category != "card"]
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _luhn(v: str) -> str:
+    d = f"regexp_replace({v}, '[^0-9]', '', 'g')"
+    x = f"CAST({d}[length({d}) - i] AS INTEGER)"
+    return f"(list_sum(list_transform(range(length({d})), lambda i: CASE WHEN i % 2 = 1 THEN 2 * {x} - CASE WHEN 2 * {x} > 9 THEN 9 ELSE 0 END ELSE {x} END)) % 10 = 0)"
+
+
+def _spans(table: str, text: str, keys: str, rules=PORTABLE) -> str:
+    """SQL of all spans: keys, type, category, rank, value."""
+    checked = {
+        "card": f"AND length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND NOT regexp_matches(value, '^[0 -]+$') AND {_luhn('value')}",
+        "ipv4": "AND list_bool_and(list_transform(string_split(value, '.'), lambda x: CAST(x AS INTEGER) <= 255))",
+    }
+    parts = [
+        f"SELECT {keys}, '{r.type}' AS type, '{r.category}' AS category, {i} AS rank, value FROM (SELECT {keys}, unnest(regexp_extract_all({text}, '{r.pattern}')) AS value FROM {table}) WHERE value <> '' {checked.get(r.check, '')}"
+        for i, r in enumerate(rules)
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def _doc_spans(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    return detect.spans(_t(spark, sf_dir, "documents"), PORTABLE, *keys, resolve=False)
+
+
+@query(f"SELECT category, count(*) AS spans, count(DISTINCT doc_id) AS docs FROM ({_spans('documents', 'text', 'doc_id')}) GROUP BY category")
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_spans(spark, sf_dir, "doc_id").groupBy("category").agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(f"SELECT lang, category, count(*) AS spans FROM ({_spans('documents', 'text', 'lang')}) GROUP BY lang, category")
+def pii_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_spans(spark, sf_dir, "lang").groupBy("lang", "category").agg(F.count("*").alias("spans"))
+
+
+@query(f"SELECT lower(string_split(value, '@')[2]) AS domain, count(*) AS n FROM ({_spans('documents', 'text', 'doc_id')}) WHERE type = 'email' GROUP BY 1")
+def email_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _doc_spans(spark, sf_dir, "doc_id").filter("type = 'email'")
+    return found.groupBy(F.lower(F.split("value", "@")[1]).alias("domain")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, count(*) AS runs, count(*) FILTER ({_luhn('value')}) AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{{13,19}}')) AS value FROM documents) GROUP BY doc_id")
+def card_luhn_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{13,19}"), 0)).alias("value"))
+    return runs.groupBy("doc_id").agg(F.count("*").alias("runs"), F.count_if(checks.luhn(F.col("value"))).alias("valid"))
+
+
+@query(
+    f"""SELECT CASE WHEN starts_with(value, '127.') THEN 'loopback' WHEN starts_with(value, '10.') OR starts_with(value, '192.168.') OR regexp_matches(value, '^172\\.(1[6-9]|2[0-9]|3[01])\\.') THEN 'private'
+    WHEN starts_with(value, '169.254.') THEN 'link_local' WHEN CAST(string_split(value, '.')[1] AS INTEGER) >= 224 OR starts_with(value, '0.') THEN 'reserved' ELSE 'public' END AS class, count(*) AS n
+    FROM ({_spans('documents', 'text', 'doc_id')}) WHERE type = 'ipv4' GROUP BY 1"""
+)
+def ip_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    kind = (
+        F.when(v.startswith("127."), "loopback")
+        .when(v.startswith("10.") | v.startswith("192.168.") | v.rlike(r"^172\.(1[6-9]|2[0-9]|3[01])\."), "private")
+        .when(v.startswith("169.254."), "link_local")
+        .when((F.split(v, r"\.")[0].cast("int") >= 224) | v.startswith("0."), "reserved")
+        .otherwise("public")
+    )
+    return _doc_spans(spark, sf_dir, "doc_id").filter("type = 'ipv4'").groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, count(*) AS secrets, count(DISTINCT value) AS distinct_secrets FROM ({_spans('documents', 'text', 'doc_id')}) WHERE category = 'secret' GROUP BY doc_id")
+def secret_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_spans(spark, sf_dir, "doc_id").filter("category = 'secret'").groupBy("doc_id").agg(F.count("*").alias("secrets"), F.countDistinct("value").alias("distinct_secrets"))
+
+
+@query(f"SELECT CASE WHEN category IN ('email', 'phone') THEN 'contact' WHEN category = 'card' THEN 'payment' WHEN category = 'ip' THEN 'network' ELSE 'credential' END AS kind, count(*) AS n FROM ({_spans('documents', 'text', 'doc_id')}) GROUP BY 1")
+def category_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("category").isin("email", "phone"), "contact").when(F.col("category") == "card", "payment").when(F.col("category") == "ip", "network").otherwise("credential")
+    return _doc_spans(spark, sf_dir, "doc_id").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH s AS ({_spans('documents', 'text', 'doc_id')}), n AS (SELECT category, count(*) AS n FROM s GROUP BY 1) SELECT category, n, CAST(floor(n / (SELECT max(n) FROM n) * 7 + 0.5) AS BIGINT) AS level FROM n ORDER BY n DESC LIMIT 8")
+def category_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.levels(_doc_spans(spark, sf_dir, "doc_id").groupBy("category").agg(F.count("*").alias("n")), "category", "n")
+
+
+@query(f"SELECT category, count(DISTINCT lower(value)) AS entries, count(DISTINCT doc_id) AS docs FROM ({_spans('documents', 'text', 'doc_id')}) GROUP BY category")
+def vault_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_spans(spark, sf_dir, "doc_id").groupBy("category").agg(F.countDistinct(F.lower("value")).alias("entries"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query()
+def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole catalogue: spans by type. Lookarounds keep it out of SQL; tests hold each rule against examples."""
+    return detect.spans(_t(spark, sf_dir, "documents"), catalogue(), "doc_id").groupBy("type", "category").agg(F.count("*").alias("spans"))
+
+
+@query()
+def redacted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rewrite.redact(_t(spark, sf_dir, "documents"), PORTABLE)
+    return out.select("doc_id", "redacted", F.size("vault").alias("entries"))
+
+
+@query()
+def redaction_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rewrite.redact(_t(spark, sf_dir, "documents"), PORTABLE)
+    return out.select("doc_id", F.posexplode(rewrite.segments(F.col("text"), F.col("spans"))).alias("nth", "segment")).select("doc_id", "nth", "segment.*")
+
+
+@query(
+    f"""WITH s AS ({_spans('documents', 'text', 'doc_id, text', APART)}), v AS (SELECT doc_id, category, value, min(rank) AS rank, min(instr(text, value)) AS pos FROM s GROUP BY doc_id, category, value)
+    SELECT doc_id, '[' || upper(category) || row_number() OVER (PARTITION BY doc_id, category ORDER BY rank, pos) || ']' AS placeholder, value, category FROM v"""
+)
+def token_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rewrite.redact(_t(spark, sf_dir, "documents"), APART, style="token")
+    return out.select("doc_id", F.explode("vault").alias("_e")).select("doc_id", "_e.*")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def vault_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rewrite.redact(_t(spark, sf_dir, "documents"), PORTABLE)
+    return out.select("doc_id", F.md5(rewrite.restore(F.col("redacted"), F.col("vault"))).alias("digest"))
+
+
+@query(f"WITH s AS ({_spans('documents', 'text', 'doc_id')}) SELECT doc_id, type, value FROM s WHERE lower(trim(value)) NOT IN (SELECT lower(trim(value)) FROM s WHERE doc_id % 10 = 0)")
+def keep_list_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _doc_spans(spark, sf_dir, "doc_id")
+    return detect.without(found, found.filter("doc_id % 10 = 0").select("value")).select("doc_id", "type", "value")
+
+
+@query()
+def url_zone_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of pages that stand outside URLs somewhere, or are of a kind that URLs don't excuse."""
+    pages = _t(spark, sf_dir, "pages")
+    found = detect.spans(pages, PORTABLE, "page_id", text="html", resolve=False)
+    zones = detect.spans(pages, [r for r in catalogue() if r.type == "url"], "page_id", text="html")
+    return detect.outside(found, zones, "page_id", exempt=("secret", "card", "iban", "national_id", "email", "phone")).select("page_id", "type", "value", "start")
+
+
+@query(f"SELECT category, count(*) AS spans, count(DISTINCT page_id) AS pages FROM ({_spans('pages', 'html', 'page_id')}) GROUP BY category")
+def html_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.spans(_t(spark, sf_dir, "pages"), PORTABLE, "page_id", text="html", resolve=False)
+    return found.groupBy("category").agg(F.count("*").alias("spans"), F.countDistinct("page_id").alias("pages"))
+
+
+@query("SELECT c_custkey, 'c_custkey: ' || c_custkey || ' | c_name: ' || c_name || ' | c_nationkey: ' || c_nationkey || ' | c_mktsegment: ' || c_mktsegment AS record FROM customer")
+def tabular_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer")
+    return c.select("c_custkey", tabular.annotate(c, "c_custkey", "c_name", "c_nationkey", "c_mktsegment").alias("record"))
+
+
+@query("SELECT r_name AS path, line, record FROM (SELECT r_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS line, 'key: ' || n_nationkey || ' | nation: ' || n_name AS record FROM nation JOIN region ON n_regionkey = r_regionkey)")
+def delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region's nations as a delimited file with a quoted column, and read back."""
+    n, r = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    row = F.concat(F.col("n_nationkey").cast("string"), F.lit(';"'), F.col("n_name"), F.lit('"'))
+    lines = n.join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy(F.col("r_name").alias("path")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))).alias("_l"))
+    files_ = lines.select("path", F.concat(F.lit("key;nation\r\n"), F.array_join(F.transform("_l", lambda x: x["row"]), "\r\n")).alias("text"))
+    return tabular.records(files_).select("path", F.col("line").cast("long").alias("line"), "record")
+
+
+@query(
+    """WITH c AS (SELECT CAST(ts AS DATE) AS day, event_type AS series, count(*) AS n FROM events GROUP BY 1, 2), e AS (SELECT max(day) AS e FROM c),
+    k AS (SELECT DISTINCT series FROM c), d AS (SELECT CAST(e - CAST(i AS INTEGER) AS DATE) AS day FROM e, range(14) t(i))
+    SELECT CAST(d.day AS VARCHAR) AS day, k.series, coalesce(c.n, 0) AS n FROM d CROSS JOIN k LEFT JOIN c ON c.day = d.day AND c.series = k.series"""
+)
+def daily_events_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.daily(_t(spark, sf_dir, "events"), "ts", "event_type", 14).withColumn("day", F.col("day").cast("string"))
+
+
+@query(
+    """WITH t AS (SELECT CAST(user_id AS VARCHAR) AS series, count(*) AS total FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY total DESC, series) AS k FROM t)
+    SELECT CASE WHEN k <= 5 THEN series ELSE '__other__' END AS series, CAST(sum(total) AS BIGINT) AS total FROM r GROUP BY 1"""
+)
+def top5_other_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.top_series(_t(spark, sf_dir, "events"), "user_id", F.lit(1))
+
+
+_LOG = "SELECT event_type AS origin, CAST(user_id % 7 AS VARCHAR) AS source, CASE WHEN value < 20 THEN 'refused' ELSE 'allowed' END AS verdict, props AS reason, ts AS moment FROM events"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    return e.select(F.col("event_type").alias("origin"), (F.col("user_id") % 7).cast("string").alias("source"), F.when(F.col("value") < 20, "refused").otherwise("allowed").alias("verdict"), F.col("props").alias("reason"), F.col("ts").alias("at"))
+
+
+@query(
+    f"""WITH l AS ({_LOG}) SELECT origin, count(*) AS contacts, count(*) FILTER (verdict = 'refused') AS refused, max(moment) AS last_at, string_agg(DISTINCT source, ',' ORDER BY source) AS sources,
+    arg_max(reason, moment) FILTER (verdict = 'refused') AS last_reason FROM l GROUP BY origin"""
+)
+def egress_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.egress_groups(_log(spark, sf_dir)).withColumn("sources", F.array_join("sources", ","))
+
+
+@query(f"WITH l AS ({_LOG}) SELECT count(DISTINCT origin) AS origins, count(*) AS contacts, count(*) FILTER (verdict = 'refused') AS refused FROM l")
+def egress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.egress_summary(analytics.egress_groups(_log(spark, sf_dir)))
+
+
+@query("SELECT user_id, event_type, ts, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def lww_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.latest(_t(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"])
+
+
+@query("SELECT event_id, user_id FROM events e WHERE event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events t WHERE t.event_type = 'error' AND t.user_id = e.user_id AND (t.ts > e.ts OR t.ts = e.ts AND t.event_id >= e.event_id))")
+def tombstone_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    return merge.without_tombstones(e.filter("event_type <> 'error'"), e.filter("event_type = 'error'"), ["user_id"], ["ts", "event_id"]).select("event_id", "user_id")
+
+
+@query(
+    """WITH v AS (SELECT user_id AS scope, event_type AS placeholder, props AS value, ts AS first_seen, event_id % 2 AS rank FROM events)
+    SELECT scope, placeholder, (SELECT min(w.value) FROM v w WHERE w.scope = v.scope AND w.placeholder = v.placeholder AND w.rank = min(v.rank)) AS value, min(first_seen) AS first_seen FROM v GROUP BY scope, placeholder"""
+)
+def vault_union_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    v = e.select(F.col("user_id").alias("scope"), F.col("event_type").alias("placeholder"), F.col("props").alias("value"), F.col("ts").alias("first_seen"), "event_id")
+    return merge.merged_vaults(v.filter("event_id % 2 = 0").drop("event_id"), v.filter("event_id % 2 = 1").drop("event_id"))
+
+
+@query(
+    """WITH a AS (SELECT user_id AS account, 1 + user_id % 3 AS seats FROM events GROUP BY 1), u AS (SELECT user_id, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS used FROM events
+    WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1)
+    SELECT account, seats * 300 AS allotted, coalesce(used, 0) AS used, seats * 300 - coalesce(used, 0) AS balance, coalesce(used, 0) >= seats * 300 AS blocked FROM a LEFT JOIN u ON account = user_id"""
+)
+def credit_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    day = lambda d: F.lit(d).cast("timestamp")
+    accounts = e.select(F.col("user_id").alias("account")).distinct().select("account", (1 + F.col("account") % 3).alias("seats"), F.lit(300).alias("allotment"), day("2024-01-10").alias("period_start"), day("2024-01-20").alias("period_end"))
+    usage = e.select(F.col("user_id").alias("account"), F.floor("value").alias("credits"), (F.col("event_type") == "purchase").alias("billable"), F.col("ts").alias("at"))
+    return analytics.credit_balance(accounts, usage)
+
+
+@query("SELECT event_id, CAST(ceil(round(((event_id * 37 % 100000) * 3.0::DOUBLE + (event_id * 11 % 5000) * 15.0::DOUBLE) / 1000000 * 0.92::DOUBLE * 100, 6)) AS BIGINT) AS cents FROM events")
+def cost_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return _t(spark, sf_dir, "events").select("event_id", analytics.cost_cents(i * 37 % 100_000, i * 11 % 5_000, F.lit(3.0), F.lit(15.0)).alias("cents"))
+
+
+@query("SELECT item_id AS id, CAST(contains(lower(text), 'than') AS INTEGER) + CAST(contains(lower(text), 'inble') AS INTEGER) + CAST(contains(lower(text), 'oushly') AS INTEGER) AS score, item_id AS \"at\" FROM benchmark WHERE score > 0 ORDER BY score DESC, item_id DESC LIMIT 4")
+def memory_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.col("item_id").alias("at"))
+    return memory.lexical(cards, ["than", "inble", "oushly"])
+
+
+_FILES = "SELECT vec_id AS id, CASE WHEN vec_id % 10 = 0 THEN (vec_id % 7) / 7.0::DOUBLE ELSE 0 END AS lexical, CAST(embedding[1] AS DOUBLE) AS cosine FROM embeddings"
+
+
+@query(
+    f"""WITH f AS ({_FILES}), s AS (SELECT id, round(CASE WHEN lexical > 0 THEN 0.5::DOUBLE + 0.5::DOUBLE * lexical ELSE 0.5::DOUBLE * (cosine - (SELECT min(cosine) FROM f)) / ((SELECT max(cosine) FROM f) - (SELECT min(cosine) FROM f)) END, 6) AS rank_score FROM f)
+    SELECT id, rank_score, row_number() OVER (ORDER BY rank_score DESC, id) AS nth FROM s ORDER BY nth LIMIT 10"""
+)
+def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings")
+    return memory.hybrid(e.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 10 == 0, (F.col("vec_id") % 7) / F.lit(7.0)).otherwise(0.0).alias("lexical"), F.element_at("embedding", 1).cast("double").alias("cosine")))
+
+
+_COSINE = "round(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6)"
+
+
+@query(
+    f"""SELECT * FROM (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, {_COSINE.format(a='q.embedding', b='r.embedding')} AS similarity,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE.format(a='q.embedding', b='r.embedding')} DESC, r.vec_id) AS nth FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0) WHERE nth <= 10"""
+)
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings")
+    return memory.nearest(e, e.filter("vec_id % 100 = 0"))
+
+
+#: The test vectors are nearly at random, so that their most similar pairs lie about here; for real embeddings 0.95 is a usual bound.
+LIKE = 0.35
+
+
+@query(f"SELECT x.vec_id AS a, y.vec_id AS b, x.label, {_COSINE.format(a='x.embedding', b='y.embedding')} AS similarity FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE similarity >= {LIKE}")
+def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.similar_pairs(_t(spark, sf_dir, "embeddings"), LIKE, "label")
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE {_COSINE.format(a='x.embedding', b='y.embedding')} >= {LIKE}),
+    r AS (SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a) SELECT id, min(other) AS cluster FROM r GROUP BY id"""
+)
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings")
+    return memory.clusters(e.select(F.col("vec_id").alias("id")), memory.similar_pairs(e, LIKE, "label"))
+
+
+@query()
+def memory_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy choice within a budget, by label; tests hold it against a loop."""
+    e = _t(spark, sf_dir, "embeddings")
+    return memory.budgeted(e.select("label", F.col("vec_id").alias("id"), (F.col("vec_id") * 7919 % 1009).alias("score"), (F.col("vec_id") * 31 % 500 + 20).alias("size")), "label", 4000)
+
+
+def _intervals(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
+    i = F.col("event_id")
+    return _t(spark, sf_dir, "events").filter(i % 2 == parity).select("user_id", (i * 13 % 3000).alias("start"), (i * 13 % 3000 + i % 17 + 1).alias("end"), F.col("event_type").alias("entity"))
+
+
+_CHARS = "SELECT DISTINCT user_id, unnest(range(event_id * 13 % 3000, event_id * 13 % 3000 + event_id % 17 + 1)) AS c FROM events WHERE event_id % 2 = {}"
+
+
+@query(
+    f"""WITH p AS ({_CHARS.format(0)}), g AS ({_CHARS.format(1)}), t AS (SELECT count(*) AS tp FROM p JOIN g USING (user_id, c)), n AS (SELECT tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng FROM t)
+    SELECT tp, np - tp AS fp, ng - tp AS fn, round(tp / np, 6) AS precision, round(tp / ng, 6) AS recall, round(2 * tp / (np + ng), 6) AS f1 FROM n"""
+)
+def char_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.character_f1(_intervals(spark, sf_dir, 0), _intervals(spark, sf_dir, 1), "user_id")
+
+
+@query(
+    f"""WITH p AS ({_CHARS.format(0)}), g AS (SELECT DISTINCT user_id, event_type AS entity, event_id * 13 % 3000 AS s, event_id * 13 % 3000 + event_id % 17 + 1 AS e FROM events WHERE event_id % 2 = 1),
+    k AS (SELECT g.user_id, g.entity, g.s, g.e, count(p.c) AS k FROM g LEFT JOIN p ON p.user_id = g.user_id AND p.c >= g.s AND p.c < g.e GROUP BY 1, 2, 3, 4),
+    m AS (SELECT user_id, entity, k = e - s AS hit FROM k),
+    n AS (SELECT user_id, entity, count(*) AS n, bool_and(hit) AS whole FROM m GROUP BY 1, 2)
+    SELECT CASE WHEN n = 1 THEN '1' WHEN n = 2 THEN '2' WHEN n <= 5 THEN '3-5' WHEN n <= 10 THEN '6-10' ELSE '11+' END AS bucket, count(*) AS entities, CAST(count(*) FILTER (whole) AS BIGINT) AS complete FROM n GROUP BY 1"""
+)
+def mention_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.mention_consistency(_intervals(spark, sf_dir, 1), _intervals(spark, sf_dir, 0), "user_id")
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, role, CAST(ceil(length(text) / 4.0) AS BIGINT) + 4 AS cost FROM conversations), r AS (SELECT *, sum(cost) OVER w AS total, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)),
+    f AS (SELECT *, min(CASE WHEN role <> 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS first FROM r WHERE total <= 300 OR k = 1)
+    SELECT conv_id, turn, role, cost, CAST(total AS BIGINT) AS total FROM f WHERE turn >= first OR k = 1"""
+)
+def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.history_window(_t(spark, sf_dir, "conversations"), 300, F.ceil(F.length("text") / 4) + 4)
+
+
+@query("SELECT CASE WHEN n_chars <= 80000 THEN 'ok' WHEN n_chars <= 1000000 THEN 'long' ELSE 'refuse' END AS plan, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def mask_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").groupBy(analytics.mask_plan(F.col("n_chars")).alias("plan")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(
+    """WITH m AS (SELECT event_id, 'user' || user_id || '@example.com failed at /srv/app/' || event_type || ' with code ' || (user_id % 5) AS message FROM events WHERE event_type = 'error' OR event_type = 'signup'),
+    s AS (SELECT event_id, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '<email>', 'g'), '(?:/[A-Za-z0-9._-]+){2,}', '<path>', 'g'), '[0-9a-fA-F]{16,}', '<token>', 'g'), '[0-9]+', '<n>', 'g'), 1, 200) AS signature FROM m)
+    SELECT * FROM (SELECT event_id, signature, row_number() OVER (PARTITION BY signature ORDER BY event_id) AS nth FROM s) WHERE nth <= 5"""
+)
+def error_signature_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").filter("event_type in ('error', 'signup')")
+    message = F.concat(F.lit("user"), "user_id", F.lit("@example.com failed at /srv/app/"), "event_type", F.lit(" with code "), (F.col("user_id") % 5).cast("string"))
+    return analytics.capped(e.select("event_id", message.alias("message")), scrubbed(F.col("message")), "event_id").select("event_id", "signature", "nth")
+
+
+@query(
+    """WITH n AS (SELECT lpad(CAST(o_orderkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS d FROM orders), w AS (SELECT d, list_transform(range(9), lambda i: CAST(d[i + 1] AS INTEGER)) AS x FROM n)
+    SELECT count(*) FILTER (list_sum(list_transform(range(9), lambda i: x[i + 1] * [9, 8, 7, 6, 5, 4, 3, 2, -1][i + 1])) % 11 = 0 AND d <> '000000000') AS bsn,
+           count(*) FILTER (list_sum(list_transform(range(9), lambda i: x[i + 1] * [3, 7, 1, 3, 7, 1, 3, 7, 1][i + 1])) % 10 = 0 AND d <> '000000000') AS aba,
+           count(*) FILTER (list_sum(list_transform(range(9), lambda i: CASE WHEN i % 2 = 1 THEN 2 * x[i + 1] - CASE WHEN x[i + 1] > 4 THEN 9 ELSE 0 END ELSE x[i + 1] END)) % 10 = 0 AND d <> '000000000') AS siren,
+           count(*) FILTER (substr(d, 1, 3) NOT IN ('000', '666') AND substr(d, 1, 3) < '900' AND substr(d, 4, 2) <> '00' AND substr(d, 6, 4) <> '0000') AS ssn FROM w"""
+)
+def checksum_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "orders").select(F.lpad((F.col("o_orderkey") * 7919 % 1_000_000_000).cast("string"), 9, "0").alias("d"))
+    return n.agg(*[F.count_if(checks.CHECKS[k](F.col("d"))).alias(k) for k in ("bsn", "aba", "siren", "ssn")])
+
+
+@query("SELECT doc_id, CAST(s AS INTEGER) AS start, length(substr(text, CAST(s + 1 AS BIGINT), 250)) AS length FROM documents, LATERAL (SELECT unnest(range(0, greatest(length(text), 1), 200)) AS s) WHERE s = 0 OR s + 50 < length(text)")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(windows(F.col("text"))).alias("_w")).select("doc_id", "_w.start", F.length("_w.part").cast("long").alias("length"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn, role, text FROM conversations")
+def chat_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogues written as another program's export, and read back."""
+    c = _t(spark, sf_dir, "conversations")
+    message = F.struct("turn", F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("sender"), F.col("text").alias("text"))
+    exports = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("chat_messages"))
+    written = exports.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("uuid"), "chat_messages")).alias("export"))
+    return files.flat_chats(written)
