@@ -108,6 +108,8 @@ def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
     end = re.compile(rb"\r?\n\r?\n").search(data, line.end() - 2)
     if not end:
         return None, 0, "header without an end"
+    if _VERSION.search(data, line.end(), end.start()):
+        return None, 0, "version line within a header"
     fields = _fields(data[line.end() : end.start()])
     if not fields.get("content-length", "").isdigit():
         return None, 0, "no length"
