@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .detect import SPAN, claimed, with_spans
+from .fakes import with_fakes
 from .rules import Rule
 
 ENTRY = "struct<placeholder:string,value:string,category:string>"
@@ -41,7 +42,7 @@ def _highest(text: Column, pattern: str) -> Column:
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: x.try_cast("int"))), F.lit(0))
 
 
-def vault_of(spans: Column, name: Column | None, taken: Column, style: str) -> Column:
+def vault_of(spans: Column, taken: Column, style: str) -> Column:
     """Entries in the order of spans: a number of its own for each value of a label (style: marker or token)."""
     key = (lambda s: label(s["type"])) if style == "marker" else (lambda s: word(s["category"]))
     values = F.array_distinct(F.transform(spans, lambda s: F.struct(key(s).alias("label"), s["value"].alias("value"))))
@@ -57,12 +58,11 @@ def vault_of(spans: Column, name: Column | None, taken: Column, style: str) -> C
 
 def splice(text: Column, spans: Column, vault: Column, style: str) -> Column:
     """The text with each span's characters replaced by its placeholder."""
-    key = (lambda s: label(s["type"])) if style == "marker" else (lambda s: word(s["category"]))
-    lead = "[REDACTED_" if style == "marker" else "["
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), key(s).alias("label"))))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), label(s["type"]).alias("label"), s["category"].alias("category"))))
 
     def step(state: Column, s: Column) -> Column:
-        entry = F.filter(vault, lambda e: (e["value"] == s["value"]) & e["placeholder"].startswith(F.concat(F.lit(lead), s["label"])))[0]
+        own = (lambda e: e["placeholder"].startswith(F.concat(F.lit("[REDACTED_"), s["label"]))) if style == "marker" else (lambda e: e["category"] == s["category"])
+        entry = F.filter(vault, lambda e: (e["value"] == s["value"]) & own(e))[0]
         piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), entry["placeholder"])
         return F.struct(s["end"].alias("at"), F.concat(state["out"], piece).alias("out"))
 
@@ -70,8 +70,11 @@ def splice(text: Column, spans: Column, vault: Column, style: str) -> Column:
     return F.aggregate(ordered, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"])))
 
 
-def redact(docs: DataFrame, rules: Sequence[Rule], style: str = "marker", text: str = "text", disabled: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
-    """docs with spans, vault and redacted. Categories in disabled and values in keep (whatever their case) stay as they are."""
+def redact(docs: DataFrame, rules: Sequence[Rule], style: str = "marker", text: str = "text", disabled: Sequence[str] = (), keep: Sequence[str] = (), key: str | None = None) -> DataFrame:
+    """docs with spans, vault and redacted (style: marker, token or fake; fake needs a key).
+
+    Categories in disabled and values in keep (whatever their case) stay as they are.
+    """
     active = [r for r in rules if r.category not in disabled]
     found = with_spans(docs, active, text)
     if keep:
@@ -79,7 +82,11 @@ def redact(docs: DataFrame, rules: Sequence[Rule], style: str = "marker", text:
     pattern = r"\[REDACTED_[A-Z_]+_([0-9]{1,9})\]" if style == "marker" else r"\[[A-Za-z_]+([0-9]{1,9})[a-z]?\]"
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     out = found.withColumn("spans", claimed(F.col("spans"))).withColumn("_taken", _highest(body, pattern))
-    out = out.withColumn("vault", vault_of(F.col("spans"), None, F.col("_taken"), style))
+    out = out.withColumn("vault", vault_of(F.col("spans"), F.col("_taken"), style))
+    if style == "fake":
+        if not key:
+            raise ValueError("substitutes need a key")
+        out = out.withColumn("vault", with_fakes(body, F.col("vault"), key))
     return out.withColumn("redacted", splice(body, F.col("spans"), F.col("vault"), style)).drop("_taken")
 
 

@@ -148,6 +148,13 @@ def vault_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.md5(rewrite.restore(F.col("redacted"), F.col("vault"))).alias("digest"))
 
 
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def fake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values replaced by substitutes of their shape, and restored."""
+    out = rewrite.redact(_t(spark, sf_dir, "documents"), PORTABLE, style="fake", key="benchmark key")
+    return out.select("doc_id", F.md5(rewrite.restore(F.col("redacted"), F.col("vault"))).alias("digest"))
+
+
 @query(f"WITH s AS ({_spans('documents', 'text', 'doc_id')}) SELECT doc_id, type, value FROM s WHERE lower(trim(value)) NOT IN (SELECT lower(trim(value)) FROM s WHERE doc_id % 10 = 0)")
 def keep_list_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _doc_spans(spark, sf_dir, "doc_id")

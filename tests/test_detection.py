@@ -1,11 +1,13 @@
 """Rules, checks and rewriting against published or constructed examples."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import checks, text
-from spanloom.operators import detect, rewrite
-from spanloom.operators.rules import catalogue
+from spanloom.operators import detect, fakes, rewrite
+from spanloom.operators.rules import PORTABLE, catalogue
 
 #: Name of a check, a value that passes and one that doesn't.
 EXAMPLES = [
@@ -114,8 +116,8 @@ def test_claims_do_not_overlap(scanned):
 def test_round_trip(spark):
     texts = [t for _, t, _ in TEXTS] + ["[REDACTED_EMAIL_1] and a@b.co and a@b.co, c@d.org", "", None, "é 🙂 a@b.co 🙂"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for style in ("marker", "token"):
-        out = rewrite.redact(docs, catalogue(), style=style).withColumn("back", rewrite.restore(F.col("redacted"), F.col("vault"))).collect()
+    for style in ("marker", "token", "fake"):
+        out = rewrite.redact(docs, PORTABLE, style=style, key="k").withColumn("back", rewrite.restore(F.col("redacted"), F.col("vault"))).collect()
         for r in out:
             assert r.back == (r.text or "")
             assert all(e.value not in r.redacted for e in r.vault if len(e.value) > 5)
@@ -123,9 +125,24 @@ def test_round_trip(spark):
         assert len(mail.vault) == 2
 
 
+def test_substitutes(spark):
+    values = [("card", "4111 1111-1111 1111"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ip", "10.1.2.3"), ("ip", "8.8.8.8"), ("email", "Jane.Doe@x.org"), ("dob", "12/03/1980"), ("dob", "1980-03-12"), ("phone", "+33 6 12 34 56 78"), ("national_id", "078-05-1120")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(values)], "i int, category string, value string")
+    a, b = (df.select("i", "category", "value", fakes.fake(F.col("value"), F.col("category"), k).alias("fake")).orderBy("i") for k in ("k1", "k2"))
+    rows, other = a.collect(), b.collect()
+    assert rows == a.collect()
+    assert all(r.fake != r.value and r.fake != o.fake for r, o in zip(rows, other, strict=True))
+    got = a.select("i", checks.card(F.col("fake")).alias("card"), checks.iban(F.col("fake")).alias("iban"), "fake").orderBy("i").collect()
+    assert got[0].card and got[0].fake[0] == "4" and got[0].fake[4] == " " and got[0].fake[9] == "-"
+    assert got[1].iban and got[1].fake.startswith("DE") and got[1].fake[4] == " "
+    assert got[2].fake.startswith("10.") and got[3].fake.rsplit(".", 1)[0] in ("192.0.2", "198.51.100", "203.0.113")
+    assert got[4].fake.endswith(".example") and got[7].fake.startswith("+33 ") and got[8].fake[3] == "-"
+    assert re.fullmatch(r"\d\d/\d\d/\d{4}", got[5].fake) and re.fullmatch(r"\d{4}-\d\d-\d\d", got[6].fake)
+
+
 def test_disabled_and_kept_stay(spark):
     docs = spark.createDataFrame([(1, "a@b.co and 203.0.113.7 and c@d.org")], "doc_id long, text string")
-    row = rewrite.redact(docs, catalogue(), disabled=["ip"], keep=["A@B.CO"]).first()
+    row = rewrite.redact(docs, PORTABLE, disabled=["ip"], keep=["A@B.CO"]).first()
     assert row.redacted == "a@b.co and 203.0.113.7 and [REDACTED_EMAIL_1]"
 
 
