@@ -71,30 +71,34 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
+def _bad(bad: Column) -> Column:
+    """A sign of junk votes bad; its absence says nothing."""
+    return F.when(bad, F.lit(-1)).otherwise(F.lit(0))
 
 
 def rules() -> dict[str, Column]:
-    """Votes over the counts of ``statistics``. Ratios are per word, or per character where named so."""
+    """Votes over the counts of ``statistics``. Ratios are per word, or per line or character where named so."""
     c = F.col
     long_enough = c("n_words") >= 40
     return {
-        "length": _vote(c("n_words") >= 20, c("n_words") < 10),
-        "repeats": _vote(50 * c("n_repeat_words") <= c("n_words"), 5 * c("n_repeat_words") > c("n_words")),
-        "symbols": _vote(50 * c("n_symbols") <= c("n_words"), 5 * c("n_symbols") > c("n_words")),
-        "lines": _vote((c("n_dup_lines") == 0) & (c("n_lines") > 1), 5 * c("n_dup_lines") > c("n_lines")),
-        "word_length": _vote(c("word_chars").between(3 * c("n_words"), 9 * c("n_words")), (c("word_chars") > 14 * c("n_words")) | (c("word_chars") < 2 * c("n_words"))),
-        "capitals": _vote(10 * c("n_upper") <= c("word_chars"), 10 * c("n_upper") > 3 * c("word_chars")),
-        "shouting": _vote(50 * c("n_shouts") <= c("n_words"), 5 * c("n_shouts") > c("n_words")),
-        "tables": _vote(50 * c("n_pipes") <= c("n_words"), 5 * c("n_pipes") > c("n_words")),
-        "variety": _vote(long_enough & (3 * c("n_distinct") > c("n_words")), long_enough & (5 * c("n_distinct") < c("n_words"))),
+        "length": F.when(c("n_words") < 10, -1).when(c("n_words") >= 20, 1).otherwise(0),
+        "variety": F.when(long_enough & (5 * c("n_distinct") < c("n_words")), -1).when(long_enough & (3 * c("n_distinct") > c("n_words")), 1).otherwise(0),
+        "repeats": _bad(5 * c("n_repeat_words") > c("n_words")),
+        "symbols": _bad(5 * c("n_symbols") > c("n_words")),
+        "lines": _bad(2 * c("n_dup_lines") > c("n_lines")),
+        "word_length": _bad((c("word_chars") > 14 * c("n_words")) | (c("word_chars") < 2 * c("n_words"))),
+        "capitals": _bad(10 * c("n_upper") > 3 * c("word_chars")),
+        "shouting": _bad(5 * c("n_shouts") > c("n_words")),
+        "tables": _bad(5 * c("n_pipes") > c("n_words")),
     }
 
 
 #: Where estimation starts: the chance of each vote (bad, abstain, good) from a bad and from a good document.
 START = {False: (0.4, 0.2, 0.4), True: (0.02, 0.18, 0.8)}
 
+#: The least share of good documents that estimation allows.
+LEAST_GOOD = 0.75
+
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100) -> tuple[list[tuple[float, float, float]], float]:
     """Log-odds of good that each rule's vote of -1, 0 and 1 adds, and those of the share of good documents.
@@ -102,7 +106,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int =
     Expectation maximisation over (votes, count) patterns estimates how often
     each rule votes each way on good and on bad documents. Ten pseudo-documents
     a class smooth that; a bad vote never counts for good, nor a good one for
-    bad, nor does an abstention count at all. Without rows the start stands.
+    bad, nor does an abstention count at all. As most documents are abstained on by most rules, the share of good
+    ones is held between LEAST_GOOD and 0.99. Without rows the start stands.
     """
     chance = [dict(START) for _ in range(n_rules)]
     share, total = 0.9, sum(n for _, n in patterns)
@@ -123,7 +128,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int =
                 of[True][v + 1] += n * p
                 of[False][v + 1] += n * (1 - p)
         chance = [{y: tuple(x / sum(of[y]) for x in of[y]) for y in of} for of in seen]
-        was, share = share, min(0.99, max(0.5, good / total))
+        was, share = share, min(0.99, max(LEAST_GOOD, good / total))
         if abs(was - share) < 1e-9:
             break
     return weights(), math.log(share / (1 - share))
