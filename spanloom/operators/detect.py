@@ -114,3 +114,26 @@ def without(found: DataFrame, keep: DataFrame) -> DataFrame:
     """Spans whose value isn't on a list (value), whatever its case and surrounding blanks."""
     listed = keep.select(F.lower(F.trim("value")).alias("_keep")).distinct()
     return found.join(listed, F.lower(F.trim(found["value"])) == listed["_keep"], "left_anti")
+
+
+def exact(docs: DataFrame, secrets: DataFrame, *keys: str, text: str = "text", least: int = 4) -> DataFrame:
+    """keys, value of listed secrets (value) that a text holds, trimmed and of at least ``least`` characters.
+
+    Texts are cut into words and a secret is looked up by its first word, so the list may be long; then the whole of it must be there.
+    """
+    listed = secrets.select(F.trim("value").alias("value")).filter(F.length("value") >= least).distinct().withColumn("_first", F.regexp_extract("value", r"^(\S+)", 1))
+    # A secret may stand inside a word: words are offered by every place at which one could begin.
+    words = docs.select(*keys, F.col(f"`{text}`").alias("_text"), F.explode(F.array_distinct(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\s\"'=:;,()<>]+"))).alias("_first"))
+    return words.join(listed, "_first").filter(F.contains("_text", F.col("value"))).select(*keys, "value").distinct()
+
+
+def deduped(found: DataFrame, *keys: str) -> DataFrame:
+    """Spans (keys, start, end, label, score): of two of a label that share over half of the shorter one, the one of the higher score (then the earlier)."""
+    other = found.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("label").alias("_label"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("score").alias("_score"))
+    same = found["label"] == other["_label"]
+    for k in keys:
+        same = same & found[k].eqNullSafe(other[f"_o_{k}"])
+    shared = F.least(found["end"], other["_e"]) - F.greatest(found["start"], other["_s"])
+    over = 2 * shared > F.least(found["end"] - found["start"], other["_e"] - other["_s"])
+    better = F.struct(other["_score"], -other["_s"], -other["_e"]) > F.struct(found["score"], -found["start"], -found["end"])
+    return found.join(other, same & (other["_s"] < found["end"]) & (found["start"] < other["_e"]) & over & better, "left_anti")

@@ -84,6 +84,25 @@ def _vendors() -> list[Rule]:
     return [Rule(kind, "secret", rf"(?<![A-Za-z0-9_])(?:{a})(?:{b})", probe=a) for kind, a, b in prefixes]
 
 
+def _prose() -> list[Rule]:
+    """Names, addresses and organisations that stand beside something that marks them."""
+    # Gates ignore case; what they mark must not.
+    capital = r"\p{Lu}[\p{L}'’-]{1,30}"
+    particles = r"(?:(?:de|del|della|van|von|der|den|di|la|le|du|dos|da|bin|al|el) ){0,2}"
+    person = rf"(?-i:{capital}(?: {particles}{capital}){{0,3}})"
+    tail = rf"(?:,? [0-9]{{4,5}} {capital}(?:[ -]{capital}){{0,2}})?"
+    return [
+        Rule("name", "name", person, gate=r"mr|mrs|ms|mx|dr|prof|professor|madame|monsieur|mme|mlle|herr|frau|señora?|sra?|sig|signora?|dott|mevrouw|meneer|maître", probe=r"(?i)(?<![a-z])(?:mr|mrs|ms|mx|dr|prof|madame|monsieur|mme|mlle|herr|frau|señor|sr|sra|sig|dott|mevrouw|meneer|maître)"),
+        Rule("name", "name", person, gate=r"(?:full |first |last |family |given )?name(?=\s{0,3}[:=])|(?:nom|prénom|surname|vorname|nachname|nombre|apellidos?|nome|cognome|naam|achternaam|imię|nazwisko)(?=\s{0,3}[:=])", probe=r"(?i)(?:name|nom|nombre|apellido|nome|naam|imię|nazwisko)\s{0,3}[:=]"),
+        Rule("address", "address", rf"(?<![0-9])[0-9]{{1,5}}(?: ?(?:bis|ter|[A-D]))?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|route|cours|rua|avenida)(?: [\p{{L}}'’.-]{{1,25}}){{1,6}}?(?:,? [0-9]{{5}} {capital}|(?=[,;\n.]|$))", probe=r"rue|avenue|boulevard|place|chemin|allée|impasse|quai|route|cours|rua|avenida"),
+        Rule("address", "address", rf"(?<![0-9])[0-9]{{1,6}} (?:{capital} ){{1,4}}(?:Street|St|Road|Rd|Avenue|Ave|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Square|Place)(?![\p{{L}}])", probe=r"Street|St|Road|Rd|Ave|Boulevard|Blvd|Lane|Ln|Dr|Court|Ct|Way|Square|Place"),
+        Rule("address", "address", rf"(?<![\p{{L}}])\p{{Lu}}[\p{{L}}.-]{{1,30}}(?:straße|strasse|str\.|weg|platz|allee|gasse|straat|laan|gracht) [0-9]{{1,4}}[a-z]?{tail}", probe=r"straße|strasse|str\.|weg|platz|allee|gasse|straat|laan|gracht"),
+        Rule("address", "address", rf"(?<![\p{{L}}])(?:Calle|Avenida|Plaza|Paseo|Via|Viale|Piazza|Corso)(?: [\p{{L}}'’.-]{{1,25}}){{1,5}},? [0-9]{{1,4}}{tail}", probe="Calle|Avenida|Plaza|Paseo|Via|Viale|Piazza|Corso"),
+        Rule("postal", "address", r"[0-9]{4,5}(?:-[0-9]{3,4})?|[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2}", gate=r"zip(?: code)?|postal code|postcode|code postal|plz|postleitzahl|código postal|cap", probe="(?i)zip|post|plz|cap"),
+        Rule("company", "company", rf"(?<![\p{{L}}])(?:\p{{Lu}}[\p{{L}}0-9&'’-]{{1,30}} ){{1,4}}(?:Inc|LLC|Ltd|GmbH|AG|SARL|SAS|SpA|BV|NV|Oy|PLC|KG|Corp|SL)(?![\p{{L}}0-9])\.?", probe="Inc|LLC|Ltd|GmbH|AG|SARL|SAS|SpA|BV|NV|Oy|PLC|KG|Corp|SL"),
+    ]
+
+
 def catalogue() -> list[Rule]:
     """All rules, in the order in which they claim their spans."""
     n = r"[ .\-]?"
@@ -161,6 +180,7 @@ def catalogue() -> list[Rule]:
         Rule("ip", "ip", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "ipv4", probe=r"[0-9]\.[0-9]"),
         Rule("ip", "ip", r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?", probe=":"),
         Rule("username", "username", r"@[A-Za-z0-9_]{2,30}", gate="handle|username|user name|twitter|instagram|pseudo", probe="@"),
+        *_prose(),
         Rule("hash_token", "apikey", r"[0-9a-f]{40}|[0-9a-f]{64}"),
         Rule("api_token", "apikey", r"[A-Za-z0-9_-]{20,200}", "mixed_token"),
     ]

@@ -84,6 +84,12 @@ TEXTS = [
     ("path", "see /home/jane/notes.txt", "/home/jane/notes.txt"),
     ("connection_string", "use postgres://u:p4ss@db.example.com/x", "postgres://u:p4ss@db.example.com/x"),
     ("dob", "born on 12/03/1980", "12/03/1980"),
+    ("name", "thanks to Mr. John van Doe today", "John van Doe"),
+    ("name", "Nom: Dupont", "Dupont"),
+    ("address", "lives at 12 rue de la Paix, 75002 Paris", "12 rue de la Paix, 75002 Paris"),
+    ("address", "at 221 Baker Street since", "221 Baker Street"),
+    ("address", "in der Hauptstraße 5, 10115 Berlin", "Hauptstraße 5, 10115 Berlin"),
+    ("company", "signed by Acme Widgets GmbH in May", "Acme Widgets GmbH"),
     ("url", "https://example.com/a?b=c", "https://example.com/a?b=c"),
 ]
 
@@ -140,6 +146,14 @@ def test_substitutes(spark):
     assert re.fullmatch(r"\d\d/\d\d/\d{4}", got[5].fake) and re.fullmatch(r"\d{4}-\d\d-\d\d", got[6].fake)
 
 
+def test_exact_secrets_and_ner_duplicates(spark):
+    docs = spark.createDataFrame([(1, 'key="hunter22" and blue whale'), (2, None)], "doc_id long, text string")
+    secrets = spark.createDataFrame([(" hunter22 ",), ("blue whale",), ("abc",), ("blue moon",)], "value string")
+    assert {(r.doc_id, r.value) for r in detect.exact(docs, secrets, "doc_id").collect()} == {(1, "hunter22"), (1, "blue whale")}
+    ner = spark.createDataFrame([(1, 0, 10, "PER", 0.9), (1, 2, 10, "PER", 0.8), (1, 9, 30, "PER", 0.5), (1, 0, 10, "ORG", 0.1), (1, 0, 10, "PER", 0.9)], "doc_id long, start int, end int, label string, score double")
+    assert sorted((r.start, r.label) for r in detect.deduped(ner.distinct(), "doc_id").collect()) == [(0, "ORG"), (0, "PER"), (9, "PER")]
+
+
 def test_disabled_and_kept_stay(spark):
     docs = spark.createDataFrame([(1, "a@b.co and 203.0.113.7 and c@d.org")], "doc_id long, text string")
     row = rewrite.redact(docs, PORTABLE, disabled=["ip"], keep=["A@B.CO"]).first()
