@@ -305,9 +305,10 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
         if room < 0:
             break
         least = r["step"]
-    top = found.filter(step >= least).select("key", "n").toPandas() if least is not None else None
-    h = top["key"].to_numpy(np.int64).view(np.uint64) if top is not None else np.zeros(0, np.uint64)
-    n = top["n"].to_numpy(np.int64) if top is not None else np.zeros(0, np.int64)
+    top = found.filter(step >= least).select("key", "n").toArrow() if least is not None else None
+    h = top["key"].to_numpy().astype(np.int64).view(np.uint64) if top is not None else np.zeros(0, np.uint64)
+    n = top["n"].to_numpy().astype(np.int64) if top is not None else np.zeros(0, np.int64)
+    del top
     order = np.argsort(h)
     h, n = h[order], n[order]
     ranked = np.lexsort((h, -n))
