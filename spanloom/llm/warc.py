@@ -34,6 +34,8 @@ from .common import column, shared_path, written
 #: The date of records whose time of capture isn't known.
 DATE = "1970-01-01T00:00:00Z"
 FILE_BYTES = 8 << 20
+#: Repeated payloads up to which their digests (under 100 bytes each) are broadcast.
+BROADCAST_ROWS = 100_000
 _CRLF = "\r\n"
 
 
@@ -69,7 +71,9 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     facts = written(base.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"), F.max(length).alias("_bytes")), "payloads")
     totals = facts.agg(F.sum(F.col("_n") * (F.col("_bytes") + 600)).alias("bytes"), F.sum("_n").alias("n")).first()
     firsts = facts.filter((F.col("_n") > 1) & F.col("_first").isNotNull() & (F.col("_bytes") >= least_bytes)).select("_digest", "_first")
-    held = base.join(firsts, "_digest", "left")
+    # Few repeated payloads go to all tasks, so that pages stay where they are; many are joined by a shuffle.
+    few = firsts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = base.join(F.broadcast(firsts) if few else firsts, "_digest", "left")
     first = F.when(F.col("page_id").eqNullSafe(F.col("_first")), F.lit(None)).otherwise(F.col("_first"))
     rows = max(1, int(FILE_BYTES * (totals["n"] or 1) / (totals["bytes"] or 1)))
     held.select(_record(length, first).alias("value")).write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", rows).text(path)
