@@ -298,11 +298,12 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     distinct = totals[WORD]["rows"] if WORD in totals else 0
     found = counts.filter(F.col("kind") == WORD)
     # Steps of an eighth of a power of two: a few hundred rows.
-    step = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    step = F.floor(F.log2(F.col("n").cast("double")) * CLASSES)
     least, room = None, TOP
     for r in found.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
         room -= r["count"]
-        if room < 0:
+        # Words seen once are spelled whatever room there is: they show how often new words come, and how these are spelled.
+        if room < 0 or r["step"] < CLASSES:
             break
         least = r["step"]
     top = found.filter(step >= least).select("key", "n").toArrow() if least is not None else None
