@@ -26,8 +26,10 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,8 @@ WIDTH, END = 2048, 1
 CUT_DOCUMENT, CUT_SENTENCE, CUT_INSIDE = 0, 8, 48
 #: Tokens packed at a time, and how far apart places within a sentence are at which it may be cut.
 RUN, GRID = 1 << 19, 256
-#: Pieces of text whose ids a task remembers.
-REMEMBERED = 200_000
+#: Pieces of text whose ids a Python worker remembers (about 100 MB).
+REMEMBERED = 500_000
 
 
 class Encoder:
@@ -71,7 +73,8 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         found = self._known.get(piece)
         if found is None:
-            found = self._encode(piece)
+            # No piece holds a special token.
+            found = array("I", self._encoding.encode_ordinary(piece)).tobytes()
             if len(self._known) < REMEMBERED and len(piece) < 64:
                 self._known[piece] = found
         return found
@@ -103,6 +106,12 @@ class Encoder:
         return out[1:]
 
 
+@lru_cache(1)
+def encoder() -> Encoder:
+    """One for a Python worker, so that tasks after the first find its words known."""
+    return Encoder()
+
+
 def choose(ends: np.ndarray, penalties: np.ndarray, width: int = WIDTH) -> list[int]:
     """Indices into ends (rising places, the first of them 0) of the cheapest windows' ends, the last of ends included."""
     n = len(ends)
@@ -192,8 +201,8 @@ PIECES = pa.schema([(x, pa.int64()) for x in ("start", "length", "ids_crc32", "d
 
 
 def _packed(names: list[str], width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder()
-    packer = _Packer(encoder.ends, width, TaskContext.get().partitionId() << 40)
+    own_encoder = encoder()
+    packer = _Packer(own_encoder.ends, width, TaskContext.get().partitionId() << 40)
     rows: list[tuple] = []
     last: pa.RecordBatch | None = None
 
@@ -208,7 +217,7 @@ def _packed(names: list[str], width: int, batches: Iterator[pa.RecordBatch]) ->
         own = part.select(names)
         ids = own.column(0).to_pylist()
         for i, text in enumerate(part.column(part.num_columns - 1)):
-            tokens = np.frombuffer(encoder.encode(text.as_py() or "") + b"\1\0\0\0", np.uint32)
+            tokens = np.frombuffer(own_encoder.encode(text.as_py() or "") + b"\1\0\0\0", np.uint32)
             rows += packer.add((own, i) if more else ids[i], tokens)
             if len(rows) >= 20_000:
                 yield batch()
