@@ -4,9 +4,10 @@ Each participant of a dialogue is the assistant once: its turns are marked as
 the assistant's and are what the mask covers; all others are users with their names. Turns of
 ``STAYING`` roles are instructions, not participants, and keep their role in every perspective.
 
-A dialogue longer than PIECE turns is rendered in pieces of that many turns, and a perspective has the
-pieces in which it speaks; so no task or row holds an unbounded dialogue, and the result grows with the
-turns. Turns get their places by a range partitioning over (conversation, turn, role, text), counts of each
+A dialogue longer than PIECE turns is rendered in pieces of that many turns, so no task or row holds an unbounded
+dialogue. ``whole`` gives each participant every piece, with an empty mask where it is silent: its pieces in order, one
+after the other, are the whole dialogue, system turns at their own places. ``rotate`` gives it those in which it speaks.
+Turns get their places by a range partitioning over (conversation, turn, role, text), counts of each
 range and a running sum of these counts, so that one huge dialogue is spread over tasks too.
 
 The text of a turn has ``<|`` written as ``<||``, so it can't hold a marker; ``unescape`` undoes that.
@@ -39,7 +40,7 @@ def unescape(text: Column) -> Column:
 
 
 def placed(turns: DataFrame, piece: int = PIECE) -> DataFrame:
-    """conv_id, place (from 0 in its dialogue), piece, role, text."""
+    """conv_id, place (from 0 in its dialogue), piece, pieces (of its dialogue), role, text."""
     role = F.trim(F.regexp_replace(F.coalesce(column(turns, "role", "string"), F.lit("")), r"\s+", " "))
     base = turns.select(column(turns, "conv_id", "long").alias("conv_id"), column(turns, "turn", "long").alias("turn"), F.when(role == "", UNKNOWN).otherwise(role).alias("role"), F.coalesce(column(turns, "text", "string"), F.lit("")).alias("text"))
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role").asc(), F.col("text").asc()]
@@ -49,10 +50,11 @@ def placed(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     counts = rows.groupBy("conv_id", "_part").agg(F.min("_row").alias("_from"), F.count("*").alias("_n"))
     # A row for each partition that a dialogue reaches into.
     earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = written(counts.select(F.col("conv_id").alias("_c"), F.col("_part").alias("_p"), "_from", earlier.alias("_earlier")), "starts")
+    pieces = F.ceil(F.sum("_n").over(Window.partitionBy("conv_id")) / piece)
+    starts = written(counts.select(F.col("conv_id").alias("_c"), F.col("_part").alias("_p"), "_from", earlier.alias("_earlier"), pieces.alias("pieces")), "starts")
     joined = rows.join(starts, rows["conv_id"].eqNullSafe(F.col("_c")) & (F.col("_part") == F.col("_p")))
     place = F.col("_row") - F.col("_from") + F.col("_earlier")
-    return joined.select("conv_id", place.alias("place"), F.floor(place / piece).alias("piece"), "role", "text")
+    return joined.select("conv_id", place.alias("place"), F.floor(place / piece).alias("piece"), "pieces", "role", "text")
 
 
 def _segment(turn: Column, speaker: Column) -> Column:
@@ -63,11 +65,34 @@ def _segment(turn: Column, speaker: Column) -> Column:
     return F.struct(head.alias("head"), F.concat(escape(turn["text"]), F.lit(STOP)).alias("body"), own.alias("own"))
 
 
+def _pieces(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("conv_id", "piece").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("_turns"))
+
+
+def _spoken(pieces: DataFrame) -> DataFrame:
+    """Each piece once for each participant that speaks in it."""
+    speakers = F.array_distinct(F.transform("_turns", lambda x: x["role"]))
+    return pieces.select("conv_id", "piece", "_turns", F.explode(F.filter(speakers, lambda x: ~x.isin(*STAYING))).alias("perspective"))
+
+
 def rotate(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     """conv_id, piece, perspective, n_turns, text, mask: each piece of a dialogue once for each participant that speaks in it."""
-    grouped = placed(turns, piece).groupBy("conv_id", "piece").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("_turns"))
-    speakers = F.array_distinct(F.transform("_turns", lambda x: x["role"]))
-    views = grouped.select("conv_id", "piece", "_turns", F.explode(F.filter(speakers, lambda x: ~x.isin(*STAYING))).alias("perspective"))
+    return _rendered(_spoken(_pieces(placed(turns, piece))))
+
+
+def whole(turns: DataFrame, piece: int = PIECE) -> DataFrame:
+    """As rotate, but each piece of a dialogue once for each participant of the dialogue."""
+    rows = written(placed(turns, piece), "placed")
+    long = rows.filter("pieces > 1")
+    participants = long.filter(~F.col("role").isin(*STAYING)).groupBy("conv_id", "role").agg(F.max("pieces").alias("_last"))
+    # A key for each piece, so that one huge dialogue is spread over tasks.
+    views = participants.select(F.col("conv_id").alias("_c"), F.col("role").alias("perspective"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last") - 1)).alias("_p"))
+    pieces = _pieces(long)
+    silent_too = pieces.join(views, pieces["conv_id"].eqNullSafe(F.col("_c")) & (pieces["piece"] == F.col("_p"))).select("conv_id", "piece", "_turns", "perspective")
+    return _rendered(_spoken(_pieces(rows.filter("pieces = 1"))).unionByName(silent_too))
+
+
+def _rendered(views: DataFrame) -> DataFrame:
     rendered = views.select("conv_id", "piece", "perspective", F.transform("_turns", lambda x: _segment(x, F.col("perspective"))).alias("_s"))
 
     def step(state: Column, s: Column) -> Column:

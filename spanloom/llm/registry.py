@@ -50,7 +50,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = F.array_join(F.transform("mask", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
-    return chat_formatting.rotate(_table(spark, sf_dir, "conversations")).withColumn("mask", mask)
+    return chat_formatting.whole(_table(spark, sf_dir, "conversations")).withColumn("mask", mask)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

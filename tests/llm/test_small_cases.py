@@ -85,6 +85,23 @@ def test_dialogues(spark):
     assert spark.range(1).select(chat_formatting.unescape(chat_formatting.escape(F.lit("<|<||<|||"))).alias("x")).first().x == "<|<||<|||"
 
 
+def test_every_participant_has_the_whole_dialogue(spark):
+    long = [(1, i, "system" if i == 0 else "late" if i == 6 else "ab"[i % 2], f"t{i} <|") for i in range(7)]
+    rows = [*long, *[(None, i, r, "x") for i, r in enumerate("cdc")], (2, 0, "system", "alone"), (3, 0, "e", "one"), (3, 1, "f", "two")]
+    got = chat_formatting.whole(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), piece=2).collect()
+    for conv in (1, None, 3):
+        turns = [(r, t) for c, _, r, t in rows if c == conv]
+        names = {r for r, _ in turns} - {"system"}
+        assert {r.perspective for r in got if r.conv_id == conv} == names
+        for name in names:
+            own = sorted((r for r in got if (r.conv_id, r.perspective) == (conv, name)), key=lambda r: r.piece)
+            assert [r.piece for r in own] == list(range(-(-len(turns) // 2)))
+            heads = ["assistant" if r == name else r if r == "system" else f"user name={r}" for r, _ in turns]
+            assert "".join(r.text for r in own) == "".join(f"<|im_start|>{h}\n{t.replace('<|', '<||')}<|im_end|>\n" for h, (_, t) in zip(heads, turns, strict=True))
+            assert [r.text[m.start : m.end] for r in own for m in r.mask] == [t.replace("<|", "<||") + "<|im_end|>" for r, t in turns if r == name]
+    assert not any(r.conv_id == 2 for r in got)
+
+
 def test_stages_keep_the_columns(spark, odd, tmp_path):
     spark.createDataFrame([(0, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
