@@ -173,3 +173,13 @@ def test_scalars(spark):
     assert row.b == "jeanlucp"
     assert row.c == [850000.0, 1234.56, 1000000.0, 1234.5, None, 12.5, 1234.0]
     assert (row.d, row.e, row.f) == ("MARIE", [0, 1], 2)
+
+
+def test_exact_secrets_anywhere_in_a_text(spark):
+    secrets = ["hunter22", "user:pass1", "a=bcd", "x,y12", "\U0001f642key\U0001f642", "(ab) c", "aaaa", " tabs\tin ", "abc", "[.*]"]
+    texts = ["go to /hunter22.", "xhunter22x user:pass1;", "{a=bcd}&x,y12@", "\U0001f600\U0001f642key\U0001f642\u00e9", "f(ab) c", "aaaaa", "tabs\tin abc", "", None, "hunter2", "re[.*]"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = detect.exact(docs, spark.createDataFrame([(x,) for x in [*secrets, None]], "value string"), "doc_id").collect()
+    want = {(i, s.strip(" ")) for i, t in enumerate(texts) for s in secrets if len(s.strip(" ")) >= 4 and s.strip(" ") in (t or "")}
+    assert sorted((r.doc_id, r.value) for r in got) == sorted(want)
+    assert detect.exact(docs, spark.createDataFrame([], "value string"), "doc_id").count() == 0
