@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import cosine, normalized
 
@@ -87,12 +89,17 @@ def lexical(cards: DataFrame, words: list[str], k: int = 4) -> DataFrame:
 
 def hybrid(files: DataFrame, k: int = 10) -> DataFrame:
     """id, rank_score, nth from (id, lexical, cosine): half and lexical where there is any, else half of the cosine scaled between the least and the greatest."""
-    everything = Window.partitionBy(F.lit(0))
-    low, high = F.min("cosine").over(everything), F.max("cosine").over(everything)
+    ends = files.agg(F.min("cosine").alias("_low"), F.max("cosine").alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
     scaled = F.when(high > low, (F.col("cosine") - low) / (high - low)).otherwise(0.0)
     score = F.round(F.when(F.col("lexical") > 0, 0.5 + 0.5 * F.col("lexical")).otherwise(0.5 * scaled), 6)
-    best = files.select("id", score.alias("rank_score")).orderBy(F.desc("rank_score"), "id").limit(k)
-    return best.withColumn("nth", F.row_number().over(everything.orderBy(F.desc("rank_score"), "id")))
+    best = files.crossJoin(F.broadcast(ends)).select("id", score.alias("rank_score")).orderBy(F.desc("rank_score"), "id").limit(k)
+    return best.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("rank_score"), "id")))
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/spanloom-checkpoints"))
 
 
 def clusters(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -100,9 +107,7 @@ def clusters(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
 
     Least labels of neighbours, then labels of labels, checkpointed each round.
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/spanloom-checkpoints"))
+    _checkpoints(nodes.sparkSession)
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("cluster")).distinct().checkpoint()
     for _ in range(rounds):
@@ -119,9 +124,84 @@ def clusters(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
 def budgeted(cards: DataFrame, scope: str, budget: int) -> DataFrame:
     """Cards (scope, id, score, size) taken greedily by score within a budget: one that is too large is skipped and the next is tried.
 
-    A fold over each scope's cards in order, as an array of its own.
+    Cards are dealt by ranges of (scope, score, id, size). Each scope's cards in its first range are read at once; where a scope reaches over
+    several, these are read one after the other, and only what is used so far is carried. A range with no card that is small enough isn't read.
     """
-    ordered = cards.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("id"), F.col("size").alias("size")))).alias("_c"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
-    fold = F.aggregate("_c", zero, lambda s, c: F.when(s["used"] + c["size"] <= budget, F.struct((s["used"] + c["size"]).cast("long").alias("used"), F.array_append(s["ids"], c["id"].cast("long")).alias("ids"))).otherwise(s))
-    return ordered.select(scope, fold.alias("_f")).select(scope, F.col("_f.used").alias("used"), F.posexplode("_f.ids").alias("nth", "id"))
+    spark = cards.sparkSession
+    _checkpoints(spark)
+    base = cards.select(F.col(scope).alias("scope"), (-F.col("score")).alias("s"), F.col("id").cast("long").alias("id"), F.col("size").cast("long").alias("size"))
+    order = [F.col(c).asc_nulls_first() for c in ("scope", "s", "id", "size")]
+    dealt = base.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
+    rows = dealt.select("scope", "id", "size", "row", F.shiftright("row", 33).alias("part")).checkpoint()
+    ends = rows.groupBy("part").agg(F.min_by(F.struct("scope"), "row").alias("first"), F.max_by(F.struct("scope"), "row").alias("last")).orderBy("part").collect()
+    # Ranges that go on with the scope that the range before ends with; on the driver there is a row for each range.
+    on = {p["part"]: before["part"] for before, p in zip(ends, ends[1:], strict=False) if before["last"] == p["first"]}
+    kind = rows.schema["scope"].dataType
+
+    def heads(of: list[tuple[int, int, int]]) -> DataFrame:
+        first = {p["part"]: p["first"]["scope"] for p in ends}
+        schema = T.StructType([T.StructField("p", T.LongType()), T.StructField("used", T.LongType()), T.StructField("nth", T.LongType()), T.StructField("of", kind)])
+        return F.broadcast(spark.createDataFrame([(p, used, nth, first[p]) for p, used, nth in of], schema))
+
+    def read(some: DataFrame) -> DataFrame:
+        ordered = some.select("scope", "part", "row", "id", "size", "used", "nth").repartition("scope", "part").sortWithinPartitions("scope", "part", "row")
+        return ordered.mapInArrow(lambda x: _taken(x, budget), T.StructType([T.StructField("scope", kind), *(T.StructField(c, T.LongType()) for c in ("part", "id", "size", "nth"))])).checkpoint()
+
+    match = F.col("scope").eqNullSafe(F.col("of")) & (F.col("part") == F.col("p"))
+    waiting = heads([(p, 0, 0) for p in on])
+    least = {r["part"]: r["least"] for r in rows.join(waiting, match).groupBy("part").agg(F.min("size").alias("least")).collect()} if on else {}
+    out = read(rows.join(waiting, match, "left_anti").withColumns({"used": F.lit(0).cast("long"), "nth": F.lit(0).cast("long")}))
+    # Used and taken so far of the last scope of each range that another goes on with.
+    lasts = {p["part"]: p["last"]["scope"] for p in ends if p["part"] in on.values() and not (p["part"] in on and p["first"] == p["last"])}
+    tails = T.StructType([T.StructField("p", T.LongType()), T.StructField("of", kind)])
+    state = {p: (0, 0) for p in lasts}
+    if lasts:
+        own = F.broadcast(spark.createDataFrame(list(lasts.items()), tails))
+        state |= {r["part"]: (r["used"], r["n"]) for r in out.join(own, match).groupBy("part").agg(F.sum("size").alias("used"), F.count("*").alias("n")).collect()}
+    goes_on = {before: p for p, before in on.items()}
+    one = {p["part"] for p in ends if p["first"] == p["last"]}
+    front = {goes_on[p]: held for p, held in state.items()}
+    while front:
+        # Past the ranges that hold nothing small enough.
+        ready: dict[int, tuple[int, int]] = {}
+        for p, held in front.items():
+            at: int | None = p
+            while at is not None and (least.get(at) is None or least[at] > budget - held[0]):
+                at = goes_on.get(at) if at in one else None
+            if at is not None:
+                ready[at] = held
+        if not ready:
+            break
+        more = read(rows.join(heads([(p, *held) for p, held in ready.items()]), match))
+        ready |= {r["part"]: (ready[r["part"]][0] + r["used"], ready[r["part"]][1] + r["n"]) for r in more.groupBy("part").agg(F.sum("size").alias("used"), F.count("*").alias("n")).collect()}
+        out = out.unionByName(more)
+        front = {goes_on[p]: held for p, held in ready.items() if p in one and p in goes_on}
+    total = out.groupBy(F.col("scope").alias("of")).agg(F.sum("size").alias("used"))
+    return out.join(total, F.col("scope").eqNullSafe(F.col("of"))).select(F.col("scope").alias(scope), "used", F.col("nth").cast("int").alias("nth"), "id")
+
+
+def _taken(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """scope, part, id, size and nth of the cards taken, of cards in order; used and nth tell where each scope's range begins."""
+    held, used, nth = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        scope, part = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+        code = scope.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (part[1:] != part[:-1])]))
+        there = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        size = batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)
+        rows, numbers = [], []
+        for a, b in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+            key = (batch.column(0)[int(a)].as_py(), int(part[a]))
+            if key != held:
+                held, used, nth = key, batch.column(5)[int(a)].as_py(), batch.column(6)[int(a)].as_py()
+            fits = there[a:b] & (size[a:b] <= budget - used)
+            # A size below nothing makes room for others.
+            for i in np.flatnonzero(there[a:b] if (size[a:b] < 0).any() else fits) + a:
+                if used + size[i] <= budget:
+                    rows.append(i), numbers.append(nth)
+                    used, nth = used + int(size[i]), nth + 1
+        if rows:
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(3), kept.column(4), pa.array(numbers, pa.int64())], names=["scope", "part", "id", "size", "nth"])

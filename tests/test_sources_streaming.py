@@ -106,3 +106,28 @@ def test_budget_is_the_greedy_one(spark):
                 used += size
                 want.append(i)
         assert [x.id for x in sorted((x for x in got if x.scope == scope), key=lambda x: x.nth)] == want
+
+
+def test_no_budget_or_rank_gathers_a_group(spark):
+    rows = spark.createDataFrame([("a", 1, 1, 1)], "scope string, id long, score int, size int")
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "collect_list" not in plan(memory.budgeted(rows, "scope", 100))
+    ranked = plan(memory.hybrid(spark.createDataFrame([(1, 0.0, 0.5)], "id long, lexical double, cosine double")))
+    assert "min(cosine" in ranked and "windowspecdefinition(0" not in ranked
+
+
+def test_budget_over_many_ranges(spark):
+    r = random.Random(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for budget, scopes in ((100, "aaab"), (3000, "a"), (7, "abc"), (0, "ab")):
+        rows = [(r.choice(scopes), i, r.choice([None, *range(50)]), r.choice([None, 0, *range(1, 60)])) for i in range(400)] + [(None, i, 5, i) for i in range(30)]
+        got = memory.budgeted(spark.createDataFrame(rows, "scope string, id long, score int, size int").repartition(4), "scope", budget).collect()
+        for scope in {x[0] for x in rows}:
+            used, want = 0, []
+            for _, i, _, size in sorted((x for x in rows if x[0] == scope), key=lambda x: (x[2] is not None, -(x[2] or 0), x[1])):
+                if size is not None and used + size <= budget:
+                    used += size
+                    want.append(i)
+            own = sorted((x for x in got if x.scope == scope), key=lambda x: x.nth)
+            assert [(x.nth, x.id, x.used) for x in own] == [(n, i, used) for n, i in enumerate(want)]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
