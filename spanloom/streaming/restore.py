@@ -1,6 +1,6 @@
 """Restoring placeholders in text that arrives in pieces.
 
-State is kept for each stream: its vault's placeholders and the tail of text that could still become one. A piece
+State is kept for each stream: its vault, its next number and the tail of text that could still become a placeholder. A piece
 is released up to the last place where no placeholder can begin, so any split of a text gives the text that restoring it whole gives.
 """
 
@@ -44,30 +44,35 @@ def release(buffer: str, piece: str, vault: dict[str, str], last: bool) -> tuple
 def restored(pieces: DataFrame, idle: str = "10 minutes") -> DataFrame:
     """stream_id, seq, text from pieces (stream_id, seq, piece, last, placeholders, values) of a stream or a table of them.
 
-    placeholders and values are the vault of a stream, repeated on its pieces. State goes when a stream ends or idles.
+    placeholders and values are the vault of a stream, repeated on its pieces. State goes when a stream ends or idles; one that idles
+    is told what was held back, restored, under the number after its latest.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            buffer, names, values, seq = state.get
             state.remove()
+            text, _ = release(buffer, "", dict(zip(names, values, strict=True)), True)
+            yield pd.DataFrame([(key[0], seq, text)], columns=["stream_id", "seq", "text"])
             return
-        buffer = state.get[0] if state.exists else ""
+        buffer, names, values, seq = state.get if state.exists else ("", [], [], 0)
         rows = []
         for frame in frames:
             for r in frame.sort_values("seq").itertuples():
                 vault = dict(zip(r.placeholders, r.values, strict=True))
                 text, buffer = release(buffer, r.piece or "", vault, bool(r.last))
                 rows.append((key[0], r.seq, text))
+                names, values, seq = list(r.placeholders), list(r.values), int(r.seq) + 1
                 if r.last:
                     buffer = ""
         if buffer:
-            state.update((buffer,))
+            state.update((buffer, list(names), list(values), seq))
             state.setTimeoutDuration(_milliseconds(idle))
         elif state.exists:
             state.remove()
         yield pd.DataFrame(rows, columns=["stream_id", "seq", "text"])
 
-    return pieces.select("stream_id", "seq", "piece", "last", "placeholders", "values").groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, text string", "buffer string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return pieces.select("stream_id", "seq", "piece", "last", "placeholders", "values").groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, text string", "buffer string, placeholders array<string>, values array<string>, next long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def _milliseconds(text: str) -> int:

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -95,6 +96,25 @@ def test_stream_restores(spark, tmp_path):
     assert "".join(r.text for r in told) == restore.substituted(TEXT, VAULT)
 
 
+def test_an_idle_stream_tells_its_tail(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    vault = {"placeholders": ["[A1]", "[A1][B"], "values": ["Ann", "Bo"]}
+    (source / "0.json").write_text("".join(json.dumps({"stream_id": s, "seq": 4, "piece": p, "last": False, **vault}) + "\n" for s, p in (("cut", "to [A"), ("whole", "to [A1]"), ("done", "to"))))
+    schema = "stream_id string, seq long, piece string, last boolean, placeholders array<string>, values array<string>"
+    run = restore.restored(spark.readStream.schema(schema).json(str(source)), "1 second").writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and spark.table("idle").filter("seq = 5").count() < 2:
+            time.sleep(0.5)
+    finally:
+        run.stop()
+    got = {}
+    for r in spark.table("idle").orderBy("stream_id", "seq").collect():
+        got.setdefault(r.stream_id, []).append((r.seq, r.text))
+    assert got == {"cut": [(4, "to "), (5, "[A")], "whole": [(4, "to "), (5, "Ann")], "done": [(4, "to")]}
+
+
 def test_budget_is_the_greedy_one(spark):
     r = random.Random(3)
     rows = [(r.choice("ab"), i, r.randint(1, 9), r.randint(1, 30)) for i in range(60)]
