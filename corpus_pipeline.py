@@ -16,6 +16,7 @@ from spanloom.llm.common import written
 
 #: The whole row of a document as one column, so that operators carry it whatever its columns are called.
 ROW = "_document"
+NUMBER = "_number"
 
 
 def _whole(docs: DataFrame, *needed: str) -> DataFrame:
@@ -35,10 +36,10 @@ def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near copies."""
-    kept = near_dedup.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = _whole(docs, "doc_id")
-    return rows.join(kept, rows["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(f"{ROW}.*")
+    """One row of each group of near copies: that of the least id, then of the least number in the stage's input."""
+    rows = written(_whole(docs).withColumn(NUMBER, F.monotonically_increasing_id()), "numbered")
+    texts = rows.select(NUMBER, *[F.col(f"{ROW}.`{c}`").alias(c) for c in ("doc_id", "text") if c in docs.columns])
+    return rows.join(near_dedup.kept_rows(texts, NUMBER), NUMBER, "left_semi").select(f"{ROW}.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

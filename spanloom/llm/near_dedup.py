@@ -64,7 +64,7 @@ def _class(values: np.ndarray) -> bytes | None:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, n_bytes, class and sketch of each text. An empty set has no class."""
+    """doc_id, n_shingles, n_bytes, class and sketch of each text, and its number if it has one. An empty set has no class."""
     for batch in slices(batches):
         sets = _sets(batch)
         _, offsets = texts(batch.column(1))
@@ -76,8 +76,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.diff(offsets), pa.int64()),
                 pa.array(map(_class, sets), pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sketch)]), pa.int32()), pa.array(np.concatenate(sketch), pa.int64())),
+                *batch.columns[2:],
             ],
-            names=["doc_id", "n_shingles", "n_bytes", "class", "sketch"],
+            names=["doc_id", "n_shingles", "n_bytes", "class", "sketch", *batch.schema.names[2:]],
         )
 
 
@@ -251,10 +252,10 @@ def verify(members: DataFrame) -> DataFrame:
     return rows.groupBy("_g", "of", "i", "step", "j").applyInPandas(lambda x: _verified(x[["id", "group", "text", "side"]]), "a long, b long")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each document."""
-    base = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    sketched = written(base.mapInArrow(_sketched, "doc_id long, n_shingles long, n_bytes long, class binary, sketch array<long>"), "sketches")
+def _answered(docs: DataFrame, *number: str) -> DataFrame:
+    """doc_id, n_shingles, class, component_id, component, number: a row for each document. component is a group's own number, as ids may repeat."""
+    base = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"), *number)
+    sketched = written(base.mapInArrow(_sketched, ", ".join(["doc_id long, n_shingles long, n_bytes long, class binary, sketch array<long>", *(f"`{n}` long" for n in number)])), "sketches")
     sets = sketched.filter("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("n_bytes").alias("n_bytes"), F.min("doc_id").alias("doc_id"))
     # The number of a class is any number of its own; once written it stays.
     classes = written(sets.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -265,10 +266,27 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     links = written(verify(members.join(found, "class").select("id", "group", "n", "n_bytes", "text")), "links")
     linked = written(components(links).join(classes.select("id", "class", "doc_id"), F.col("node") == F.col("id")).select("label", "id", "class", "doc_id"), "linked")
     least = written(linked.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    named = linked.join(least, "label").select("class", "component_id")
-    alone = classes.join(linked.select("id"), "id", "left_anti").select("class", F.col("doc_id").alias("component_id"))
+    named = linked.join(least, "label").select("class", "component_id", F.col("label").alias("component"))
+    alone = classes.join(linked.select("id"), "id", "left_anti").select("class", F.col("doc_id").alias("component_id"), F.col("id").alias("component"))
     answer = written(named.unionByName(alone), "answer")
-    rows = sketched.select("doc_id", "n_shingles", "class").join(answer, "class", "left")
+    return sketched.select("doc_id", "n_shingles", "class", *number).join(answer, "class", "left")
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for each document."""
+    rows = _answered(docs)
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = rows.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
+
+
+def kept_rows(docs: DataFrame, number: str) -> DataFrame:
+    """The numbers of the rows that stay of docs (doc_id, text, number): one of each group, that of the least doc_id and then the least number.
+
+    Rows without shingles are no copies of each other, but of those that repeat an id one stays.
+    """
+    rows = _answered(docs, number)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", number)).alias("_k")
+    groups = rows.filter("class is not null").groupBy("component").agg(first).select(f"_k.{number}")
+    empty = rows.filter("class is null")
+    return groups.unionByName(empty.filter("doc_id is not null").groupBy("doc_id").agg(F.min(number).alias(number)).select(number)).unionByName(empty.filter("doc_id is null").select(number))
