@@ -16,9 +16,10 @@
    product of 0/1 matrices, and only a spanning forest of the true links is kept.
 5. Components of the links, by minimum labels along edges and halving of paths.
 
-Step 4 compares, within a group of m candidates, m * m / BLOCK blocks' rows;
-its rows grow with the groups, not with their squares, but its arithmetic
-does for groups of near copies (half a microsecond a pair of short texts).
+Step 4 copies each text of a large group to a block for each part of its own
+and the neighbouring bands: of m candidates in one band about m * m / (BLOCK / 2)
+rows with their texts are shuffled. Rows and arithmetic (half a microsecond a
+pair of short texts) both grow with the square of such groups.
 
 Defined cases: a null or empty text, or one of blanks, has an empty set and is
 linked with nothing. A null doc_id takes part but names no component, unless
