@@ -3,6 +3,9 @@
 quality classifier and quality rules drop what they reject, near-dedup keeps
 one document of each group, mixing takes documents as often as the sources'
 targets say, and packing cuts the mix into windows. All but the last stage return the columns of documents.
+
+Each stage carries a document's row as one struct, so extra columns may have any names. Columns doc_id, text and source
+that are missing or null are read as nulls. Rows may repeat, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,25 +28,34 @@ def _whole(docs: DataFrame, *needed: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; it learns from the labels of the documents that it is given."""
+    """Documents that the classifier doesn't reject; it learns from the labels of the documents that it is given.
+
+    A null text is scored as an empty one; a null id has no label. Without labels of both kinds all documents share one score. Repeated rows are judged alike.
+    """
     trees = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.classify(_whole(docs, "doc_id", "text"), trees, carry=[ROW]).filter("predicted = 1").select(f"{ROW}.*")
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. A null or empty text has no words and goes; repeated rows are judged alike."""
     return quality_rules.quality_rules(_whole(docs, "doc_id", "text"), carry=[ROW]).filter("kept").select(f"{ROW}.*")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: that of the least id, then of the least number in the stage's input."""
+    """One row of each group of near copies: that of the least id, then of the least number in the stage's input.
+
+    Null, empty and blank texts are copies of nothing: with a null id all stay, of those that repeat an id one does. A null id comes after all others in its group.
+    """
     rows = written(_whole(docs).withColumn(NUMBER, F.monotonically_increasing_id()), "numbered")
     texts = rows.select(NUMBER, *[F.col(f"{ROW}.`{c}`").alias(c) for c in ("doc_id", "text") if c in docs.columns])
     return rows.join(near_dedup.kept_rows(texts, NUMBER), NUMBER, "left_semi").select(f"{ROW}.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once, or up to three times. One without words stays once."""
+    """Each document as often as the mix takes it: not at all, once, or up to three times.
+
+    A document without words stays once. A null source is a source of its own. Rows that agree in id, source and text are taken alike.
+    """
     taken = mixing.mix(_whole(docs, "doc_id", "source", "text"), carry=[ROW])
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
     times = F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))
@@ -51,7 +63,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mix's documents in windows."""
+    """The pieces of the mix's documents in windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null text is one end token; repeated rows are packed each."""
     return packing.pack(docs)
 
 
