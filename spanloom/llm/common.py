@@ -14,12 +14,14 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (as in tests) a temporary one of this machine."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a session of this machine alone gets a temporary one; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="spanloom-")
             spark.sparkContext.setCheckpointDir(found)
