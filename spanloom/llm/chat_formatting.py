@@ -112,13 +112,13 @@ def _rendered(views: DataFrame) -> DataFrame:
     )
 
 
-#: The same over whole dialogues ordered by a window. Masks are written as start-end, comma-separated.
+#: The same over whole dialogues ordered by a window: every participant with every piece. Masks are written as start-end, comma-separated, an empty one as the empty text.
 ORACLE_SQL = f"""
 WITH t AS (
   SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1 AS place
   FROM (SELECT conv_id, turn, text, CASE WHEN coalesce(trim(role), '') = '' THEN '{UNKNOWN}' ELSE trim(role) END AS role FROM conversations)
 ), p AS (SELECT *, place // {PIECE} AS piece FROM t),
-v AS (SELECT DISTINCT conv_id, piece, role AS perspective FROM p WHERE role <> 'system'),
+v AS (SELECT a.conv_id, b.piece, a.perspective FROM (SELECT DISTINCT conv_id, role AS perspective FROM p WHERE role <> 'system') a JOIN (SELECT DISTINCT conv_id, piece FROM p) b ON a.conv_id IS NOT DISTINCT FROM b.conv_id),
 s AS (
   SELECT v.conv_id, v.piece, v.perspective, p.place, p.role = v.perspective AS own,
          '{START}' || CASE WHEN p.role = v.perspective THEN 'assistant' WHEN p.role = 'system' THEN 'system' ELSE 'user name=' || replace(p.role, '<|', '<||') END || chr(10) AS head,
@@ -128,6 +128,6 @@ s AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, piece, perspective ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM s
 )
 SELECT conv_id, CAST(piece AS BIGINT) AS piece, perspective, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY place) AS text,
-       string_agg(CASE WHEN own THEN CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT) END, ',' ORDER BY place) AS mask
+       coalesce(string_agg(CASE WHEN own THEN CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT) END, ',' ORDER BY place), '') AS mask
 FROM o GROUP BY conv_id, piece, perspective
 """

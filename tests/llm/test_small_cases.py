@@ -1,5 +1,6 @@
 """Every operator and stage on nulls, empty, blank, repeated and long texts, clashing names and empty tables."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,21 @@ def test_every_participant_has_the_whole_dialogue(spark):
     assert not any(r.conv_id == 2 for r in got)
 
 
+def test_a_long_dialogue_is_whole_for_a_silent_participant(spark):
+    """130 turns, three pieces; c speaks once. The SQL and the operator agree, beside columns that the SQL's own names clash with."""
+    rows = [(7, i, "c" if i == 3 else "ab"[i % 2], f"turn {i}", "x", "y") for i in range(130)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, piece string, place string")
+    got = chat_formatting.whole(turns).collect()
+    assert sorted((r.perspective, r.piece, r.n_turns) for r in got) == [(p, k, n) for p in "abc" for k, n in enumerate((64, 64, 2))]
+    assert [len(r.mask) for r in sorted(got, key=lambda r: r.piece) if r.perspective == "c"] == [1, 0, 0]
+    c = duckdb.connect()
+    c.register("conversations", turns.toPandas())
+    want = c.sql(chat_formatting.ORACLE_SQL).fetchall()
+    mine = [(r.conv_id, r.piece, r.perspective, r.n_turns, r.text, ",".join(f"{m.start}-{m.end}" for m in r.mask)) for r in got]
+    assert sorted(want) == sorted(mine)
+    assert chat_formatting.whole(turns.filter("false")).count() == 0
+
+
 def test_stages_keep_the_columns(spark, odd, tmp_path):
     spark.createDataFrame([(0, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
