@@ -91,7 +91,7 @@ def judge(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages; rules: host, path, verdict (as RULES where None)."""
     spark = pages.sparkSession
     if rules is None:
-        rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+        rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS r(host, path, verdict)")
     rules = rules.filter("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rules = rules.withColumn("key", F.concat("host", F.lit("\0"), "path")).withColumn("rule", F.concat("host", "path"))
     # Distinct numbers of labels and of characters, not the rules themselves.
