@@ -2,8 +2,8 @@
 
 Each rule votes good (1) or bad (-1) or abstains (0). Votes are counted by
 pattern (at most 3 ** rules patterns, however many documents), expectation
-maximisation on the counted patterns estimates how accurate each rule's votes
-are and the share of good documents, and a document's verdict is its posterior probability.
+maximisation on the counted patterns estimates the shares of good documents and of kinds of junk and how often
+each rule votes each way on them, and a document's verdict is its posterior probability of being good.
 
 Defined cases: a null text is empty (no words; base_failed). An empty table
 gives no rows. Repeated rows are judged alike.
@@ -93,49 +93,45 @@ def rules() -> dict[str, Column]:
     }
 
 
-#: Where estimation starts: the chance of each vote (bad, abstain, good) from a bad and from a good document.
-START = {False: (0.4, 0.2, 0.4), True: (0.02, 0.18, 0.8)}
+#: What kind of junk each rule tells first of all.
+KINDS = {"length": "form", "word_length": "form", "symbols": "form", "tables": "form", "variety": "repetition", "repeats": "repetition", "lines": "repetition", "capitals": "shouting", "shouting": "shouting"}
+#: Where estimation starts: the chances of a bad vote, an abstention and a good vote from good documents, from junk of a rule's own kind and from other junk.
+GOOD, OWN, OTHER = (0.02, 0.48, 0.5), (0.5, 0.3, 0.2), (0.05, 0.48, 0.47)
+#: The share of good documents that it starts from, and how many documents a kind the start counts for.
+SHARE, PSEUDO = 0.8, 10.0
 
-#: The least share of good documents that estimation allows.
-LEAST_GOOD = 0.75
 
+def fit(patterns: list[tuple[tuple[int, ...], int]], kinds: list[str], rounds: int = 300) -> list[tuple[float, list[tuple[float, float, float]]]]:
+    """For good documents, then for each kind of junk: the logarithm of its share, and those of the chances of each rule's bad vote, abstention and good vote.
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100) -> tuple[list[tuple[float, float, float]], float]:
-    """Log-odds of good that each rule's vote of -1, 0 and 1 adds, and those of the share of good documents.
-
-    Expectation maximisation over (votes, count) patterns estimates how often
-    each rule votes each way on good and on bad documents. Ten pseudo-documents
-    a class smooth that; a bad vote never counts for good, nor a good one for
-    bad, nor does an abstention count at all. As most documents are abstained on by most rules, the share of good
-    ones is held between LEAST_GOOD and 0.99. Without rows the start stands.
+    Expectation maximisation over (votes, count) patterns; kinds names each rule's own kind. Junk is of several
+    kinds, as rules of one kind say nothing of another. All chances and shares are free: what tells good from bad are the start values,
+    which PSEUDO documents a kind stand for besides. It ends when the likelihood no longer rises. Without rows the start stands.
     """
-    chance = [dict(START) for _ in range(n_rules)]
-    share, total = 0.9, sum(n for _, n in patterns)
-
-    def weights() -> list[tuple[float, float, float]]:
-        odds = [[math.log(c[True][k] / c[False][k]) for k in range(3)] for c in chance]
-        return [(min(0.0, o[0]), 0.0, max(0.0, o[2])) for o in odds]
-
+    names = sorted(set(kinds))
+    start = [[GOOD for _ in kinds], *[[OWN if of == k else OTHER for of in kinds] for k in names]]
+    shares = [SHARE, *[(1 - SHARE) / len(names)] * len(names)]
+    model = [(math.log(s), [tuple(map(math.log, c)) for c in chances]) for s, chances in zip(shares, start, strict=True)]
+    total, was = sum(n for _, n in patterns), -math.inf
     for _ in range(rounds if total else 0):
-        by = weights()
-        prior = math.log(share / (1 - share))
-        seen = [{y: [10 * x for x in START[y]] for y in START} for _ in range(n_rules)]
-        good = 0.0
+        held = [PSEUDO] * len(model)
+        seen = [[[PSEUDO * x for x in c] for c in chances] for chances in start]
+        likelihood = 0.0
         for votes, n in patterns:
-            p = probability(prior + sum(w[v + 1] for w, v in zip(by, votes, strict=True)))
-            good += n * p
-            for of, v in zip(seen, votes, strict=True):
-                of[True][v + 1] += n * p
-                of[False][v + 1] += n * (1 - p)
-        chance = [{y: tuple(x / sum(of[y]) for x in of[y]) for y in of} for of in seen]
-        was, share = share, min(0.99, max(LEAST_GOOD, good / total))
-        if abs(was - share) < 1e-9:
+            logs = [log + sum(c[v + 1] for c, v in zip(chances, votes, strict=True)) for log, chances in model]
+            top = max(logs)
+            each = [math.exp(x - top) for x in logs]
+            likelihood += n * (math.log(sum(each)) + top)
+            for k, x in enumerate(each):
+                part = n * x / sum(each)
+                held[k] += part
+                for of, v in zip(seen[k], votes, strict=True):
+                    of[v + 1] += part
+        model = [(math.log(h / sum(held)), [tuple(math.log(x / sum(c)) for x in c) for c in chances]) for h, chances in zip(held, seen, strict=True)]
+        if likelihood - was < 1e-9 * abs(likelihood):
             break
-    return weights(), math.log(share / (1 - share))
-
-
-def probability(odds: float) -> float:
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+        was = likelihood
+    return model
 
 
 def quality_rules(docs: DataFrame, carry: list[str] = (), min_posterior: float = 0.5) -> DataFrame:
@@ -148,12 +144,16 @@ def quality_rules(docs: DataFrame, carry: list[str] = (), min_posterior: float =
     judged = written(statistics(docs, carry).withColumns({f"vote_{k}": v for k, v in votes.items()}), "votes")
     # At most 3 ** len(rules) rows, whatever the table's size.
     patterns = [(tuple(r[:-1]), r[-1]) for r in judged.groupBy(*names).count().orderBy(*names).collect()]
-    weights, prior = fit(patterns, len(names))
-    odds = F.lit(prior)
-    for name, (bad, _, good) in zip(names, weights, strict=True):
-        odds = odds + F.when(F.col(name) < 0, F.lit(bad)).when(F.col(name) > 0, F.lit(good)).otherwise(F.lit(0.0))
+    (good, of_good), *junk = fit(patterns, [KINDS[k] for k in votes])
+    # How much likelier each kind of junk is than a good document.
+    worse = F.lit(0.0)
+    for share, chances in junk:
+        odds = F.lit(share - good)
+        for name, bad, fine in zip(names, chances, of_good, strict=True):
+            odds = odds + F.element_at(F.array(*[F.lit(b - g) for b, g in zip(bad, fine, strict=True)]), F.col(name) + 2)
+        worse = worse + F.exp(odds)
     return (
-        judged.withColumn("posterior", 1 / (1 + F.exp(-odds)))
+        judged.withColumn("posterior", 1 / (1 + worse))
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= min_posterior))
     )
