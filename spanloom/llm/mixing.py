@@ -17,6 +17,8 @@ listed in ``carry``; a carried column may not have the name of a result column.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ from .common import NOT_SPACE, column, key_text, whole, written
 WEIGHTS = (5.0, 2.0, 1.0)
 #: The most times that a source may be taken.
 MAX_REPEATS = 3
-#: Hex digits of the hash, and of those that each round of refining reads.
-HASH_DIGITS, ROUND_DIGITS = 15, 3
+#: Bits of the hash, and of those that each round of refining reads.
+HASH_BITS, ROUND_BITS = 60, 12
 
 
 def size_of(text: Column) -> Column:
@@ -35,8 +37,23 @@ def size_of(text: Column) -> Column:
 
 
 def place() -> Column:
-    """The hash of a document as 15 hex digits; they order as the number does."""
-    return F.substring(F.md5(F.concat_ws("|", key_text(F.col("doc_id")), F.coalesce("source", F.lit("")), F.md5(whole(F.col("_text")))).cast("binary")), 1, HASH_DIGITS)
+    """The hash of a document as a number of HASH_BITS bits."""
+    digest = F.md5(F.concat_ws("|", key_text(F.col("doc_id")), F.coalesce("source", F.lit("")), F.md5(whole(F.col("_text")))).cast("binary"))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with their number from 0 in an order, as _i: sorted by ranges, counted by range, and numbered on from the ranges before."""
+    ranged = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("_row", 33)
+    # A number for each range that has rows.
+    counts = ranged.groupBy(part.alias("p")).count().orderBy("p").collect()
+    before, offsets = 0, {}
+    for r in counts:
+        offsets[r["p"]] = before
+        before += r["count"]
+    table = F.from_json(F.lit(json.dumps(offsets)), "map<string,bigint>")
+    return ranged.withColumn("_i", F.element_at(table, part.cast("string")) + F.col("_row").bitwiseAND((1 << 33) - 1)).drop("_row")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -44,46 +61,46 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
 
     Each source's share of all words is by weight; what a share exceeds
     max_repeats times its source goes to the others by weight until none is
-    above. That is one level for all: sources are capped in the order of
-    cap / weight for as long as the level left to the rest is above their cap.
+    above. That is one level for all. It is found in rounds, a row each: what the capped sources leave is shared anew, until no more are capped.
     """
-    everything = Window.partitionBy(F.lit(0))
-    ordered = sizes.withColumn("_i", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_i") % len(weights) + 1).cast("int"))
-    capped = ordered.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * float(max_repeats))
-    before = everything.orderBy(F.col("_cap") / F.col("_w"), "_i").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    levelled = capped.withColumn("_l", level).withColumn("_level", F.max(F.when(F.col("_l") * F.col("_w") <= F.col("_cap"), F.col("_l"))).over(everything))
-    # The first level that its source's cap allows is the highest of all that are allowed.
-    return levelled.select("source", "source_size", F.least(F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap")), F.col("_cap")).alias("target"))
+    capped = written(numbered(sizes, F.col("source").asc_nulls_last()).select("source", "source_size", weight.alias("_w"), (F.col("source_size") * float(max_repeats)).alias("_cap")), "sources")
+    all_words = capped.agg(F.sum("source_size").alias("n"), F.sum("_w").alias("w")).first()
+    level, n_capped = (all_words["n"] or 0) / (all_words["w"] or 1.0), 0
+    while True:
+        over = F.col("_w") * level > F.col("_cap")
+        row = capped.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("_cap"))).alias("caps"), F.sum(F.when(~over, F.col("_w"))).alias("w")).first()
+        if row["n"] == n_capped or not row["w"]:
+            break
+        level, n_capped = (all_words["n"] - row["caps"]) / row["w"], row["n"]
+    return capped.select("source", "source_size", F.least(F.lit(float(level)) * F.col("_w"), F.col("_cap")).alias("target"))
 
 
 def thresholds(placed: DataFrame, budgets: DataFrame) -> DataFrame:
     """_key, below: the hash below which a source's documents are taken once more.
 
     placed: _key, hash, size; budgets: _key, budget (words). Each round sums
-    words by source and the next three hex digits; only the documents of the bucket
-    in which the budget ends are summed again, by finer digits. At the last
-    digit the boundary hash is taken where that comes nearer to the budget.
+    words by source and the next ROUND_BITS bits; only the documents of the bucket
+    in which the budget ends are summed again, by finer bits. At the last
+    bit the boundary hash is taken where that comes nearer to the budget.
     """
-    spark = placed.sparkSession
-    state = budgets.select("_key", F.col("budget").alias("_left"), F.lit("").alias("_at"))
-    done = None
-    for upto in range(ROUND_DIGITS, HASH_DIGITS + 1, ROUND_DIGITS):
-        inside = placed.join(state, "_key").filter(F.col("hash").startswith(F.col("_at")))
-        sums = inside.groupBy("_key", "_left", F.substring("hash", 1, upto).alias("_at")).agg(F.sum("size").alias("_n"), F.countDistinct("hash").alias("_hashes"))
+    state = budgets.select("_key", F.col("budget").alias("_left"), F.lit(0).cast("long").alias("_at"))
+    done = budgets.select("_key", F.lit(0).cast("long").alias("below")).limit(0)
+    for upto in range(ROUND_BITS, HASH_BITS + 1, ROUND_BITS):
+        rest = HASH_BITS - upto
+        inside = placed.join(state, "_key").filter(F.shiftright("hash", rest + ROUND_BITS) == F.col("_at"))
+        sums = inside.groupBy("_key", "_left", F.shiftright("hash", rest).alias("_at")).agg(F.sum("size").alias("_n"), (F.min("hash") == F.max("hash")).alias("_one"))
         run = Window.partitionBy("_key").orderBy("_at")
         ends = sums.withColumn("_to", F.sum("_n").over(run)).filter(F.col("_to") > F.col("_left"))
         first = ends.withColumn("_r", F.row_number().over(run)).filter("_r = 1")
-        step = written(first.select("_key", (F.col("_left") - (F.col("_to") - F.col("_n"))).alias("_left"), "_at", "_n", "_hashes"), "threshold")
-        single = (F.col("_hashes") == 1) | F.lit(upto == HASH_DIGITS)
+        step = written(first.select("_key", (F.col("_left") - (F.col("_to") - F.col("_n"))).alias("_left"), "_at", "_n", "_one"), "threshold")
         # A bucket of one hash can't be split: it is taken if at least half of it fits.
-        settled = step.filter(single).select("_key", F.when(2 * F.col("_left") >= F.col("_n"), F.concat("_at", F.lit("g"))).otherwise(F.col("_at")).alias("below"))
-        done = settled if done is None else done.unionByName(settled)
-        state = step.filter(~single).select("_key", "_left", "_at")
+        settled = step.filter("_one").select("_key", F.shiftleft(F.col("_at") + (2 * F.col("_left") >= F.col("_n")).cast("long"), rest).alias("below"))
+        done = done.unionByName(settled)
+        state = step.filter("not _one").select("_key", "_left", "_at")
         if state.isEmpty():
             break
-    return done if done is not None else spark.createDataFrame([], "_key string, below string")
+    return done
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, carry: list[str] = ()) -> DataFrame:
