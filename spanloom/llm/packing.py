@@ -2,8 +2,8 @@
 
 Each partition of the table is packed as one stream, in the table's order, so
 nothing is shuffled and no task holds more than RUN tokens at a time. Within a
-run the windows' ends are chosen among all ends of documents and sentences, and places GRID apart where
-there is none nearby, such that padding plus penalties for cutting is least:
+run the windows' ends are chosen among all ends of documents and sentences, whole widths from a document's beginning, and places GRID apart where
+none of these lies nearer, such that padding plus penalties for cutting is least:
 
     cost(e) = penalty(e) + min over s in [e - width, e) of cost(s) + width - (e - s)
 
@@ -44,7 +44,7 @@ WIDTH, END = 2048, 1
 #: What cutting costs, in padding tokens: between documents, sentences, or within a sentence.
 CUT_DOCUMENT, CUT_SENTENCE, CUT_INSIDE = 0, 8, 48
 #: Tokens packed at a time, and how far apart places within a sentence are at which it may be cut.
-RUN, GRID = 1 << 19, 256
+RUN, GRID = 1 << 19, 32
 #: Pieces of text whose ids a Python worker remembers (about 100 MB).
 REMEMBERED = 500_000
 
@@ -138,12 +138,18 @@ def choose(ends: np.ndarray, penalties: np.ndarray, width: int = WIDTH) -> list[
 def _places(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Where a window may end in a run, and what it costs."""
     cut = np.full(len(ids) + 1, -1, np.int16)
-    step = max(1, min(GRID, width // 8))
-    cut[step::step] = CUT_INSIDE
+    for begin, end in zip(np.append(0, doc_ends), np.append(doc_ends, len(ids)), strict=True):
+        cut[begin + width : end : width] = CUT_INSIDE
     cut[1:][sentence[ids]] = CUT_SENTENCE
     cut[doc_ends] = CUT_DOCUMENT
     cut[0] = cut[-1] = 0
     at = np.flatnonzero(cut >= 0)
+    # Longer gaps are filled.
+    step = max(1, min(GRID, width // 8))
+    more = (np.diff(at) - 1) // step
+    inside = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+    cut[np.repeat(at[:-1], more) + step * (inside + 1)] = CUT_INSIDE
+    at = np.flatnonzero(cut >= 0)
     return at, cut[at]
 
 

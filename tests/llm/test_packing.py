@@ -30,6 +30,14 @@ def test_choose_is_cheapest(seed):
     assert cost == brute(ends.tolist(), penalties.tolist(), 40)
 
 
+def test_a_text_without_sentences_fills_its_windows():
+    ids = np.arange(9000)
+    at, extra = packing._places(ids, np.array([9000]), np.zeros(9001, bool), 2048)
+    ends = at[packing.choose(at, extra)]
+    assert ends.tolist() == [2048, 4096, 6144, 8192, 9000]
+    assert np.diff(at).max() <= packing.GRID
+
+
 def tokens(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
