@@ -30,9 +30,9 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.archived(_table(spark, sf_dir, "pages")).filter("kind = 'record'")
+    found = warc.with_gaps(warc.archived(_table(spark, sf_dir, "pages")))
     number = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
-    return found.select(number("record_id").alias("page_id"), F.col("content_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return found.select(number("record_id").alias("page_id"), F.col("content_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"), "gap_bytes")
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.store(_table(spark, sf_dir, "documents"))).drop("landmarks")
+    return media.features(media.store(_table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_near_dedup, op4_lm_scoring, op5_warc, op6_url_filters, op7_quality_rules, op8_packing, op9_chat_formatting, op10_media)}

@@ -34,6 +34,8 @@ from .common import column, shared_path, written
 #: The date of records whose time of capture isn't known.
 DATE = "1970-01-01T00:00:00Z"
 FILE_BYTES = 8 << 20
+#: Longest payloads of records that are written together, and the most records in a file of these: no file has over a GB. Longer ones have files of their own.
+CLASSES = ((1 << 16, 1 << 14), (1 << 22, 1 << 8))
 #: Repeated payloads up to which their digests (under 100 bytes each) are broadcast.
 BROADCAST_ROWS = 100_000
 _CRLF = "\r\n"
@@ -69,16 +71,22 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     base = base.withColumn("_digest", base32(F.sha1(F.col("_html").cast("binary"))))
     length = F.octet_length("_html").cast("long")
     facts = written(base.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"), F.max(length).alias("_bytes")), "payloads")
-    totals = facts.agg(F.sum(F.col("_n") * (F.col("_bytes") + 600)).alias("bytes"), F.sum("_n").alias("n")).first()
+    totals = facts.agg(F.sum(F.col("_n") * (F.col("_bytes") + 600)).alias("bytes"), F.sum("_n").alias("n"), F.max("_bytes").alias("longest")).first()
     firsts = facts.filter((F.col("_n") > 1) & F.col("_first").isNotNull() & (F.col("_bytes") >= least_bytes)).select("_digest", "_first")
     # Few repeated payloads go to all tasks, so that pages stay where they are; many are joined by a shuffle.
     few = firsts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     held = base.join(F.broadcast(firsts) if few else firsts, "_digest", "left")
     first = F.when(F.col("page_id").eqNullSafe(F.col("_first")), F.lit(None)).otherwise(F.col("_first"))
     rows = max(1, int(FILE_BYTES * (totals["n"] or 1) / (totals["bytes"] or 1)))
-    held.select(_record(length, first).alias("value")).write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", rows).text(path)
+    least = -1
+    for most, records in (*CLASSES, (None, 1)):
+        if least < 0 or (totals["longest"] or 0) > least:
+            own = held.filter((length > least) if most is None else (length > least) & (length <= most))
+            own.select(_record(length, first).alias("value")).write.mode("append").option("lineSep", _CRLF * 2).option("maxRecordsPerFile", min(rows, records)).text(path)
+        least = most
 
 
+STEP = 1 << 16
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
 
@@ -134,6 +142,20 @@ def _next(pattern: re.Pattern, data: bytes, at: int) -> int:
     return found.start() if found else len(data)
 
 
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The content of the compressed member at a place, where it ends, and what is wrong. Only its own bytes are read, but for a part of STEP."""
+    unzip, parts, place = zlib.decompressobj(31), [], at
+    try:
+        while not unzip.eof and place < len(data):
+            parts.append(unzip.decompress(data[place : place + STEP]))
+            place += STEP
+    except zlib.error:
+        return b"", 0, "member can't be decompressed"
+    if not unzip.eof:
+        return b"", 0, "member without an end"
+    return b"".join(parts), min(place, len(data)) - len(unzip.unused_data), ""
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
     """('record', at, length, record) and ('gap', at, length, reason) in the order of an archive's bytes.
 
@@ -143,14 +165,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
     while at < len(data):
         found: list[dict] = []
         if _MEMBER.match(data, at):
-            unzip = zlib.decompressobj(31)
-            try:
-                plain, reason = unzip.decompress(data[at:]), ""
-            except zlib.error:
-                plain, reason = b"", "member can't be decompressed"
-            if not reason and not unzip.eof:
-                reason = "member without an end"
-            end = len(data) - len(unzip.unused_data) if not reason else 0
+            plain, end, reason = _member(data, at)
             if not reason:
                 inner = list(salvage(plain))
                 found = [x[3] for x in inner if x[0] == "record"]
@@ -218,6 +233,16 @@ def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return read(spark, path)
 
 
+def with_gaps(found: DataFrame) -> DataFrame:
+    """The records of found (as read gives it), but for their payloads, and the quarantined bytes of their archives as gap_bytes.
+
+    found is written once: records and the gap log are both taken from that table.
+    """
+    kept = written(found.drop("payload"), "archives")
+    gaps = kept.filter("kind = 'gap'").groupBy(F.col("archive").alias("_a")).agg(F.sum("length").alias("_g"))
+    return kept.filter("kind = 'record'").join(gaps, F.col("archive") == F.col("_a"), "left").withColumn("gap_bytes", F.coalesce("_g", F.lit(0).cast("long"))).drop("_a", "_g")
+
+
 #: What is read back: digests by 20 bits (5 hex digits, 4 of base 32) at a time.
 ORACLE_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -225,6 +250,6 @@ f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
 SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
        list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
        CASE WHEN f.first IS NULL OR p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN p.page_id = f.first THEN NULL ELSE f.first END AS refers_to
+       CASE WHEN p.page_id = f.first THEN NULL ELSE f.first END AS refers_to, CAST(0 AS BIGINT) AS gap_bytes
 FROM p JOIN f ON p.html = f.html
 """

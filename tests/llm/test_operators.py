@@ -1,8 +1,11 @@
 """The operators against brute force, round trips and held-out accuracy."""
 
 import gzip
+import hashlib
 import random
 import re
+import struct
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -58,10 +61,16 @@ def test_targets_share_everything(spark):
 
 
 def test_larger_mixes_hold_smaller_ones(spark):
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    a = {r.doc_id: r.taken for r in mixing.mix(docs, weights=(1.0, 4.0)).collect()}
-    b = {r.doc_id: r.taken for r in mixing.mix(docs, weights=(1.0, 4.0)).collect()}
-    assert a == b
+    """A source of a larger weight takes all that it takes with a smaller one."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
+    small, large = ({r.doc_id: r.taken for r in mixing.mix(docs, weights=w).filter("doc_id % 2 = 0").collect()} for w in ((1.0, 4.0), (2.0, 3.0)))
+    assert all(large[i] >= n for i, n in small.items()) and sum(large.values()) > 1.5 * sum(small.values()) > 0
+
+
+def test_many_sources_are_numbered_in_order(spark):
+    sizes = spark.range(3000).select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("source"), (F.col("id") % 7).alias("source_size"))
+    got = mixing.numbered(sizes.repartition(16), F.col("source").asc_nulls_last()).orderBy("source").select("_i").collect()
+    assert [r[0] for r in got] == list(range(3000))
 
 
 def brute_components(docs):
@@ -122,6 +131,50 @@ def test_classifier_on_held_out_labels(spark):
     assert (scored["predicted"][good] == 1).mean() > 0.97
 
 
+def test_trees_equal_naive_boosting():
+    """Splits found by trying every cut on every row, and scores by walking down one row at a time."""
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(300, 4)), 1)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 2] > -0.3)).astype(float)
+    got = quality_classifier.fit(x, y, trees=5, depth=2)
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality_classifier.BINS + 1)[1:-1])) for j in range(4)]
+    total = np.full(len(y), got.start)
+    for t in range(5):
+        p = 1 / (1 + np.exp(-total))
+        g, h = y - p, p * (1 - p)
+
+        def best(rows):
+            value = lambda k: g[k].sum() ** 2 / (h[k].sum() + quality_classifier.RIDGE)
+            found = (1e-6, None, None)
+            for j in range(4):
+                for c in cuts[j]:
+                    left, right = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                    if min(len(left), len(right)) >= quality_classifier.LEAST:
+                        gain = value(left) + value(right) - value(rows)
+                        if gain > found[0] + 1e-12:
+                            found = (gain, j, c)
+            return found
+
+        add = np.zeros(len(y))
+        rows = np.arange(len(y))
+        _, j, c = best(rows)
+        sides = [rows[x[:, j] <= c], rows[x[:, j] > c]] if j is not None else [rows]
+        for side in sides:
+            _, j, c = best(side)
+            for leaf in [side[x[side, j] <= c], side[x[side, j] > c]] if j is not None else [side]:
+                add[leaf] = quality_classifier.RATE * g[leaf].sum() / (h[leaf].sum() + quality_classifier.RIDGE)
+        total = total + add
+    assert got.score(x) == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+    for i in range(50):
+        odds = got.start
+        for feature, cut, leaf in zip(got.feature, got.cut, got.leaf, strict=True):
+            at = 0
+            for _ in range(2):
+                at = 2 * at + (2 if x[i, feature[at]] > cut[at] else 1)
+            odds += leaf[at - 3]
+        assert got.score(x[i : i + 1])[0] == pytest.approx(1 / (1 + np.exp(-odds)))
+
+
 def test_statistics_do_not_depend_on_neighbours():
     texts = ["a b a b a b", None, "", "LINE!!\nLINE!!\n| x |", "é ü " * 50, "a b a b a b"]
     together = quality_classifier.statistics(pa.array(texts))
@@ -155,11 +208,34 @@ def test_rules_agree_with_labels(spark):
     assert row.good > 0.97 and row.bad < 0.4
 
 
+@pytest.mark.parametrize("share", [0.9, 0.5, 0.3, 0.1])
+def test_rules_learn_what_votes_were_made_from(share):
+    """Synthetic votes of known chances, on tables of mostly good and of mostly bad documents."""
+    r = np.random.default_rng(1)
+    kinds = [quality_rules.KINDS[k] for k in quality_rules.rules()]
+    names = sorted(set(kinds))
+    n = 20_000
+    good, kind = r.random(n) < share, r.integers(0, len(names), n)
+    right = r.uniform(0.5, 0.85, len(kinds))
+    votes = np.zeros((n, len(kinds)), int)
+    for j, k in enumerate(kinds):
+        own = ~good & (np.array(names)[kind] == k)
+        bad, fine = np.where(own, right[j], np.where(good, 0.03, 0.08)), np.where(own, 0.05, np.where(good, 0.6, 0.4))
+        u = r.random(n)
+        votes[:, j] = np.where(u < bad, -1, np.where(u < bad + fine, 1, 0))
+    counted = Counter(map(tuple, votes.tolist()))
+    model = quality_rules.fit(sorted(counted.items()), kinds)
+    assert np.exp(model[0][0]) == pytest.approx(share, abs=0.03)
+    for j, k in enumerate(kinds):
+        assert np.exp(model[1 + names.index(k)][1][j][0]) == pytest.approx(right[j], abs=0.1)
+    odds = {v: [s + sum(c[x + 1] for c, x in zip(chances, v, strict=True)) for s, chances in model] for v in counted}
+    judged = np.array([1 / sum(np.exp(o - odds[v][0]) for o in odds[v]) >= 0.5 for v in map(tuple, votes.tolist())])
+    assert (judged == good).mean() > 0.88
+
+
 def test_base_score_equals_brute_force(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, None), (10**6 + 3, "unseenword unseenword and the")], "doc_id long, text string"))
     got = {r.doc_id: r for r in lm_scoring.lm_score(docs).collect()}
-    import zlib
-
     words = {r.doc_id: WORD.findall(low(r.text)) for r in docs.collect()}
     training = [i for i in words if zlib.crc32(str(i).encode()) % 10]
     counts = Counter(w for i in training for w in words[i])
@@ -198,7 +274,6 @@ def records(n):
     for i in range(n):
         body = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nbody" + str(i).encode()
         import base64
-        import hashlib
 
         digest = base64.b32encode(hashlib.sha1(b"body" + str(i).encode()).digest())
         out.append(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, digest, len(body), body))
@@ -235,6 +310,34 @@ def test_salvage_recovers_later_records(zipped):
     assert ids(b"") == ([], []) and ids(b"junk")[0] == []
 
 
+def test_damaged_archives_through_spark(spark, tmp_path):
+    parts = records(5)
+    (tmp_path / "whole.warc").write_bytes(b"".join(parts))
+    (tmp_path / "cut.warc").write_bytes(parts[0] + parts[1][:40] + b"".join(parts[2:]))
+    (tmp_path / "zip.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in parts[:3]) + b"junk" + gzip.compress(parts[4]))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    found = warc.read(spark, str(tmp_path)).collect()
+    by = defaultdict(list)
+    for x in found:
+        by[x.archive.rsplit("/", 1)[1], x.kind].append(x)
+    assert len(by["whole.warc", "record"]) == 5 and not by["whole.warc", "gap"]
+    assert [x.record_id for x in by["cut.warc", "record"]] == [f"<urn:{i}>" for i in (0, 2, 3, 4)]
+    assert [(x.at, x.length) for x in by["cut.warc", "gap"]] == [(len(parts[0]), 40)]
+    assert [x.record_id for x in by["zip.warc.gz", "record"]] == [f"<urn:{i}>" for i in (0, 1, 2, 4)] and sum(x.length for x in by["zip.warc.gz", "gap"]) == 4
+    gaps = {(x.archive.rsplit("/", 1)[1], x.gap_bytes) for x in warc.with_gaps(warc.read(spark, str(tmp_path))).collect()}
+    assert gaps == {("whole.warc", 0), ("cut.warc", 40), ("zip.warc.gz", 4)}
+
+
+def test_long_payloads_have_files_of_their_own(spark):
+    sizes = [10] * 50 + [70_000] * 3 + [5 << 20] * 2
+    pages = spark.createDataFrame([(i, f"http://h/{i}", str(i % 10) * n) for i, n in enumerate(sizes)], "page_id long, url string, html string")
+    found = warc.archived(pages).filter("kind = 'record'").collect()
+    assert sorted(x.content_length for x in found) == sorted(sizes)
+    for x in found:
+        if x.content_length == 5 << 20:
+            assert sum(y.archive == x.archive for y in found) == 1
+
+
 def test_a_filter_has_no_false_negatives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"))
     blocks = url_filters.bloom(keys, 3000)
@@ -243,6 +346,27 @@ def test_a_filter_has_no_false_negatives(spark):
     assert row.true == 3000 and row.false < 300
 
 
+def test_media_rows_equal_brute_force(spark):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").limit(40).collect()] + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "x" * 576), (10**6 + 3, "é" * 100_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for r, t in ((r, dict(texts)[r.doc_id]) for r in media.features(media.store(docs)).collect()):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * ((-len(raw)) % 576 or (0 if raw else 576))
+        head = b"RIFF" + (36 + len(payload)).to_bytes(4, "little") + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, media.RATE, media.RATE, 1, 8) + b"data" + len(payload).to_bytes(4, "little")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-32:])
+        assert (r.media_bytes, r.media_sha256) == (len(head + payload), hashlib.sha256(head + payload).hexdigest())
+        assert r.landmarks == sorted(r.landmarks) and r.feature == f"{len(r.landmarks)}:{hashlib.sha256(np.array(r.landmarks, '<i8').tobytes()).hexdigest()}"
+        # Each code's peaks are peaks of the frames that it names.
+        for code in r.landmarks[:20]:
+            for frame, of in ((code >> 32, code >> 20 & 4095), ((code >> 32) + (code & 255), code >> 8 & 4095)):
+                wave = (np.frombuffer(payload, np.uint8)[frame * 288 : frame * 288 + 576].astype(float) - 128) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(576) / 576))
+                power = [abs(np.sum(wave * np.exp(-2j * np.pi * k * np.arange(576) / 576))) for k in (of - 1, of, of + 1)]
+                assert power[1] >= max(power) - 1e-3 * max(power)
+    nothing = spark.createDataFrame([(1, None)], "doc_id long, media binary")
+    assert media.features(nothing).first().payload_bytes is None
+
+
 def test_media_round_trip(spark):
     for text in (b"", b"x", b"y" * 576, bytes(range(256)) * 40):
         payload = media.payload_of(text)

@@ -59,11 +59,6 @@ def test_packing_covers_the_mix(steps):
             assert p.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][p.start : p.start + p.length], "<u4").tobytes())
 
 
-def test_run_gives_the_last_stage(spark, steps):
-    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    assert sorted(map(tuple, corpus_pipeline.run(spark, DIR).select(key).collect()))[:5] == sorted(map(tuple, steps[5].select(key).collect()))[:5]
-
-
 def test_repeated_and_missing_ids_leave_one_of_each_group(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(1, a), (2, a + " end"), (2, b), (3, b), (None, a), (None, ""), (None, "c d e f g h"), (None, "c d e f g h"), (4, ""), (4, None), (5, "")]
