@@ -61,9 +61,14 @@ def key_text(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.lit(""))
 
 
+def fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of doc_id's text modulo folds. A null id hashes as the empty text, whose crc32 is 0."""
+    return F.crc32(key_text(doc_id).cast("binary")) % folds
+
+
 def held_out(doc_id: Column, folds: int) -> Column:
-    """True where crc32 of doc_id's text is divisible by folds. A null id hashes as the empty text, whose crc32 is 0: held out."""
-    return F.crc32(key_text(doc_id).cast("binary")) % folds == 0
+    """True in fold 0, a null id's too."""
+    return fold(doc_id, folds) == 0
 
 
 def column(df: DataFrame, name: str, kind: str) -> Column:

@@ -12,11 +12,12 @@ Weights and table begin alike for each text and are refined online, after every
 symbols, so a score depends on its text and the counts alone, and not on how rows are dealt. The sum of the bits'
 logarithms is the text's log probability, and its bits per byte.
 
-Counting covers all training texts in three passes, each a narrow map with sums: words (shuffled as counts by
-hash), then the bits' slots (as blocks of partial sums of the two tables, whose
-size is fixed), then scoring. What the driver and the tasks hold is bounded: the TOP commonest words' counts,
-VOCABULARY codes, their classes' and two tables of 2 ** SLOT_BITS bytes. Counts of all rarer words stay in a
-table, and the base scores of texts that use them are completed by a join.
+Every training text is counted, in passes that are narrow maps with sums: words of all (shuffled as counts by
+hash); then the bits' slots (as blocks of partial sums of the two tables) of all but a fold of the training texts; then, on that
+fold, whose texts the slots have not seen, how often a bit was 1 by what its three predictions said, to
+which the weights that texts begin with are fitted; then scoring. What the driver and the tasks hold is bounded: the TOP commonest words' counts,
+VOCABULARY codes, their classes' and two tables of 2 ** SLOT_BITS bytes. The word counts grow with the input: those of all rarer words stay in a
+table, and the base scores of texts that use them are completed by a join. The tables of bits don't: beyond their size, contexts share slots.
 
 Words are told apart by 64-bit hashes.
 
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, held_out, written
+from .common import column, fold, held_out, written
 from .text_arrays import Words, slices, texts, words
 
 FOLDS = 10
@@ -45,24 +46,21 @@ TOP, VOCABULARY, FREQUENT = 1 << 20, 1 << 16, 64
 SLOT_BITS, BLOCK_BITS = 22, 14
 STOP, END = 32, 256
 #: Symbols between refinements; step of the weights.
-STRIDE, STEP = 128, 0.02
+STRIDE, STEP = 8, 0.02
+#: The remainder of the training texts that the weights are fitted to.
+WEIGHING = 1
 #: Classes of rarer words to a power of two of the count.
 CLASSES = 8
 #: Log-odds are kept as bytes of this fraction.
 SCALE = 16.0
 LEVELS = 4
-#: Where the weights of orders 0, 1 and 2 begin, by how sure order 2 (rows) and order 1 are.
-BEGIN = np.array(
-    [
-        [[1.0, 0.3, 0.0], [0.0, 0.7, 0.0], [0.0, 0.8, 0.0], [0.2, 0.75, 0.0]],
-        [[0.6, 0.3, 0.2], [0.0, 0.7, 0.3], [0.0, 0.75, 0.3], [0.0, 0.75, 0.35]],
-        [[0.2, 0.3, 0.35], [0.0, 0.9, 0.4], [0.0, 0.8, 0.35], [0.3, 0.7, 0.35]],
-        [[0.1, 0.2, 0.55], [0.0, 1.0, 0.5], [0.2, 0.9, 0.5], [0.0, 0.8, 0.3]],
-    ]
-).reshape(LEVELS * LEVELS, 3)
+#: Weights before anything is learned; levels that a prediction's log-odds are summed by; what the start counts for in fitting.
+EVEN, STEPS, RIDGE = 1 / 3, 32, 1.0
 #: Cells of the last table, and the observations that its beginning counts for.
 CELLS, PRIOR = 24, 60.0
 SLICE = 1 << 20
+#: The most bytes of text that a task sums slots of: 32-bit sums last, and little is lost with a task.
+TASK_BYTES = 1 << 30
 #: How many words a task gathers before it passes counts on.
 GATHER = 1 << 20
 
@@ -197,8 +195,20 @@ def bits(codes: Codes, of: np.ndarray, one: np.ndarray, two: np.ndarray) -> tupl
 
 @dataclass
 class Model:
+    """begin: for each gate, the weights of orders 0, 1 and 2 that a text begins with."""
+
     vocabulary: Vocabulary
     tables: tuple[np.ndarray, np.ndarray]
+    begin: np.ndarray
+
+    def cells(self, of: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How many zeros and ones came after each combination of the three predictions' levels."""
+        codes = self.vocabulary.codes
+        _, node, bit, s1, s2 = bits(codes, of, *contexts(of, first, self.vocabulary.first_word))
+        cell = _LEVEL[np.rint(codes.odds * SCALE).clip(-127, 127).astype(np.int8).view(np.uint8)][node]
+        for table, s in zip(self.tables, (s1, s2), strict=True):
+            cell = cell * np.int32(STEPS) + _LEVEL[table[s].view(np.uint8)]
+        return np.bincount(cell * 2 + bit, minlength=2 * STEPS**3)
 
     def score(self, of: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The natural log probability of each text, given its symbols."""
@@ -219,7 +229,7 @@ class Model:
             x.append(raw.astype(np.float32) * np.float32(1 / SCALE))
         of_doc = doc[symbol]
         key = of_doc * np.int32(LEVELS * LEVELS) + (sure[1] * np.int32(LEVELS) + sure[0])
-        weights = [np.tile(BEGIN[:, k], texts_).astype(np.float32) for k in range(3)]
+        weights = [np.tile(self.begin[:, k], texts_).astype(np.float32) for k in range(3)]
         right, seen = np.zeros(texts_ * CELLS, np.float32), np.zeros(texts_ * CELLS, np.float32)
         result = -np.bincount(doc, self.vocabulary.alike[of], texts_)
         bounds = np.searchsorted(stride, np.arange(int(stride[-1]) + 2)) if len(stride) else [0]
@@ -247,7 +257,31 @@ class Model:
 
 
 #: How sure a kept log-odds is: unseen, weak, middling, strong.
-_SURE = np.digitize(np.abs(np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float64)) / SCALE, [0.05, 1.5, 3.0]).astype(np.int32)
+_KEPT = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float64)
+_SURE = np.digitize(np.abs(_KEPT) / SCALE, [0.05, 1.5, 3.0]).astype(np.int32)
+#: The level of a kept log-odds: four to each unit near 0, wider ones further out; and what a level stands for.
+_LEVEL = np.digitize(np.sign(_KEPT) * np.log1p(np.abs(_KEPT) / 8), np.linspace(-2.8, 2.8, STEPS - 1)).astype(np.int32)
+_VALUE = np.array([_KEPT[_LEVEL == k].mean() if (_LEVEL == k).any() else 0.0 for k in range(STEPS)]) / SCALE
+_SURE_OF_LEVEL = np.array([np.median(_SURE[_LEVEL == k]) if (_LEVEL == k).any() else 0 for k in range(STEPS)]).astype(int)
+
+
+def fitted(cells: np.ndarray) -> np.ndarray:
+    """The weights of each gate by logistic regression on cells (zeros and ones by levels of orders 0, 1 and 2), drawn towards EVEN by RIDGE."""
+    zeros, ones = cells.reshape(-1, 2).T.astype(np.float64)
+    level = np.indices((STEPS,) * 3).reshape(3, -1)
+    gate = _SURE_OF_LEVEL[level[2]] * LEVELS + _SURE_OF_LEVEL[level[1]]
+    out = np.full((LEVELS * LEVELS, 3), EVEN)
+    for g in range(len(out)):
+        own = (gate == g) & (zeros + ones > 0)
+        x, n, y = _VALUE[level[:, own]].T, (zeros + ones)[own], ones[own]
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ out[g], -30, 30)))
+            slope = x.T @ (y - n * p) - RIDGE * (out[g] - EVEN)
+            step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(3), slope)
+            out[g] += np.clip(step, -0.5, 0.5)
+            if np.abs(step).max() < 1e-6:
+                break
+    return out
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -368,20 +402,39 @@ def _odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([odds.tobytes()])], names=["block", "odds"])
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+def _weighed(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cell, n: the sums of Model.cells."""
+    sums = np.zeros(2 * STEPS**3, np.int64)
+    for part in slices(batches, most=SLICE):
+        found = words(*texts(part.column(1)))
+        sums += model.cells(*symbols(model.vocabulary, found, model.vocabulary.find(found.hashes)))
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["cell", "n"])
+
+
+def train(docs: DataFrame, folds: int = FOLDS) -> tuple[Model, DataFrame]:
     """A model of all texts of docs (doc_id, text), and the table of all word counts."""
     spark = docs.sparkSession
-    # Partial tables are as large for a small split as for a large one: no more tasks than keep the cores busy.
-    docs = docs.coalesce(4 * spark.sparkContext.defaultParallelism)
     counts = written(docs.mapInArrow(_counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "words")
     vocabulary = vocabulary_of(counts)
     shared = spark.sparkContext.broadcast(vocabulary)
-    partial = docs.mapInArrow(lambda x: _slots(shared.value, x), "block int, cells binary, counts binary")
+    # Partial tables are as large for a small split as for a large one: no more tasks than keep the cores busy, unless one had over TASK_BYTES.
+    size = counts.filter(F.col("kind") == BYTE).agg(F.sum("n")).first()[0] or 0
+    few = max(4 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
+    weighing = fold(F.col("doc_id"), folds) == WEIGHING
+    partial = docs.filter(~weighing).coalesce(few).mapInArrow(lambda x: _slots(shared.value, x), "block int, cells binary, counts binary")
     blocks = partial.repartition("block").mapInArrow(_odds, "block int, odds binary").collect()
     tables = np.zeros((2 << SLOT_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.int8)
     for r in blocks:
         tables[r["block"]] = np.frombuffer(r["odds"], np.int8)
-    return Model(vocabulary, tuple(tables.reshape(2, -1))), counts
+    model = Model(vocabulary, tuple(tables.reshape(2, -1)), np.full((LEVELS * LEVELS, 3), EVEN))
+    unweighed = spark.sparkContext.broadcast(model)
+    sums = docs.filter(weighing).mapInArrow(lambda x: _weighed(unweighed.value, x), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = np.zeros(2 * STEPS**3)
+    cells[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    model.begin = fitted(cells)
+    unweighed.destroy()
+    return model, counts
 
 
 SCORED = "row long, doc_id long, n_tokens long, n_known long, n_bytes long, base_score double, score double, tail array<long>, tail_n array<int>"
@@ -429,7 +482,7 @@ def lm_score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte: a row for each document."""
     spark = docs.sparkSession
     base = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    model, counts = train(base.filter(~held_out(F.col("doc_id"), folds)))
+    model, counts = train(base.filter(~held_out(F.col("doc_id"), folds)), folds)
     shared = spark.sparkContext.broadcast(model)
     scored = written(base.mapInArrow(lambda x: _scored(shared.value, x), SCORED), "scores")
     v = model.vocabulary

@@ -260,6 +260,36 @@ def test_scores_do_not_depend_on_partitions(spark):
     assert all(a[i] == pytest.approx(b[i], rel=1e-5) for i in a)
 
 
+def test_weights_are_those_that_made_the_bits():
+    """Bits drawn from a known mix of the predictions give back its weights, gate by gate."""
+    r = np.random.default_rng(0)
+    n = lm_scoring.STEPS
+    level = np.indices((n,) * 3).reshape(3, -1)
+    true = np.array([0.2, 0.5, 0.4])
+    p = 1 / (1 + np.exp(-(lm_scoring._VALUE[level].T @ true)))
+    ones = r.binomial(200, p)
+    cells = np.stack([200 - ones, ones], 1).ravel()
+    found = lm_scoring.fitted(cells)
+    assert found[5:11] == pytest.approx(np.tile(true, (6, 1)), abs=0.05)
+    assert (lm_scoring.fitted(np.zeros(2 * n**3)) == lm_scoring.EVEN).all()
+
+
+def test_one_word_more_is_never_likelier():
+    """Every text's probability is a product over its symbols' bits: a longer text with the same beginning has less, however short."""
+    docs = ["the cat sat", "the cat sat on", "the cat sat on the mat", "zzz"]
+    import pyarrow as pa
+
+    h = lm_scoring.words(*lm_scoring.texts(pa.array(docs[:3]))).hashes
+    keys, n = np.unique(h, return_counts=True)
+    v = lm_scoring.vocabulary_from(keys, n, np.arange(len(keys)), np.zeros(0, int), np.ones(256), int(n.sum()), len(keys), 3)
+    tables = tuple(np.zeros(1 << lm_scoring.SLOT_BITS, np.int8) for _ in range(2))
+    model = lm_scoring.Model(v, tables, np.full((16, 3), lm_scoring.EVEN))
+    score = [float(model.score(*lm_scoring.symbols(v, w, v.find(w.hashes)))[0]) for w in (lm_scoring.words(*lm_scoring.texts(pa.array([d]))) for d in docs)]
+    assert 0 > score[0] > score[1] > score[2]
+    found = lm_scoring.words(*lm_scoring.texts(pa.array(docs)))
+    assert model.score(*lm_scoring.symbols(v, found, v.find(found.hashes))) == pytest.approx(score, rel=1e-5)
+
+
 def test_probabilities_sum_to_one_at_most():
     """Over all short words that a tiny model can spell or knows, and the end."""
     h = np.sort(np.array([5, 9], np.uint64))
