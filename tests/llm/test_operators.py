@@ -270,7 +270,9 @@ def test_weights_are_those_that_made_the_bits():
     ones = r.binomial(200, p)
     cells = np.stack([200 - ones, ones], 1).ravel()
     found = lm_scoring.fitted(cells)
-    assert found[5:11] == pytest.approx(np.tile(true, (6, 1)), abs=0.05)
+    # Gates in which both hashed contexts say something.
+    told = [g for g in range(16) if g >= 4 and g % 4]
+    assert found[told] == pytest.approx(np.tile(true, (9, 1)), abs=0.05)
     assert (lm_scoring.fitted(np.zeros(2 * n**3)) == lm_scoring.EVEN).all()
 
 
