@@ -32,6 +32,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, for work that is bound by the processor."""
+    return detect.spread(_t(spark, sf_dir, name))
+
+
 def _luhn(v: str) -> str:
     d = f"regexp_replace({v}, '[^0-9]', '', 'g')"
     x = f"CAST({d}[length({d}) - i] AS INTEGER)"
@@ -52,7 +57,7 @@ def _spans(table: str, text: str, keys: str, rules=PORTABLE) -> str:
 
 
 def _doc_spans(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
-    return detect.spans(_t(spark, sf_dir, "documents"), PORTABLE, *keys, resolve=False)
+    return detect.spans(_texts(spark, sf_dir), PORTABLE, *keys, resolve=False)
 
 
 @query(f"SELECT category, count(*) AS spans, count(DISTINCT doc_id) AS docs FROM ({_spans('documents', 'text', 'doc_id')}) GROUP BY category")
@@ -118,18 +123,18 @@ def vault_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole catalogue: spans by type. Lookarounds keep it out of SQL; tests hold each rule against examples."""
-    return detect.spans(_t(spark, sf_dir, "documents"), catalogue(), "doc_id").groupBy("type", "category").agg(F.count("*").alias("spans"))
+    return detect.spans(_texts(spark, sf_dir), catalogue(), "doc_id").groupBy("type", "category").agg(F.count("*").alias("spans"))
 
 
 @query()
 def redacted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rewrite.redact(_t(spark, sf_dir, "documents"), PORTABLE)
+    out = rewrite.redact(_texts(spark, sf_dir), PORTABLE)
     return out.select("doc_id", "redacted", F.size("vault").alias("entries"))
 
 
 @query()
 def redaction_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rewrite.redact(_t(spark, sf_dir, "documents"), PORTABLE)
+    out = rewrite.redact(_texts(spark, sf_dir), PORTABLE)
     return out.select("doc_id", F.posexplode(rewrite.segments(F.col("text"), F.col("spans"))).alias("nth", "segment")).select("doc_id", "nth", "segment.*")
 
 
@@ -138,20 +143,20 @@ def redaction_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, '[' || upper(category) || row_number() OVER (PARTITION BY doc_id, category ORDER BY rank, pos) || ']' AS placeholder, value, category FROM v"""
 )
 def token_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rewrite.redact(_t(spark, sf_dir, "documents"), APART, style="token")
+    out = rewrite.redact(_texts(spark, sf_dir), APART, style="token")
     return out.select("doc_id", F.explode("vault").alias("_e")).select("doc_id", "_e.*")
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
 def vault_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rewrite.redact(_t(spark, sf_dir, "documents"), PORTABLE)
+    out = rewrite.redact(_texts(spark, sf_dir), PORTABLE)
     return out.select("doc_id", F.md5(rewrite.restore(F.col("redacted"), F.col("vault"))).alias("digest"))
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
 def fake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values replaced by substitutes of their shape, and restored."""
-    out = rewrite.redact(_t(spark, sf_dir, "documents"), PORTABLE, style="fake", key="benchmark key")
+    out = rewrite.redact(_texts(spark, sf_dir), PORTABLE, style="fake", key="benchmark key")
     return out.select("doc_id", F.md5(rewrite.restore(F.col("redacted"), F.col("vault"))).alias("digest"))
 
 
@@ -164,7 +169,7 @@ def keep_list_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def url_zone_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of pages that stand outside URLs somewhere, or are of a kind that URLs don't excuse."""
-    pages = _t(spark, sf_dir, "pages")
+    pages = _texts(spark, sf_dir, "pages")
     found = detect.spans(pages, PORTABLE, "page_id", text="html", resolve=False)
     zones = detect.spans(pages, [r for r in catalogue() if r.type == "url"], "page_id", text="html")
     return detect.outside(found, zones, "page_id", exempt=("secret", "card", "iban", "national_id", "email", "phone")).select("page_id", "type", "value", "start")
@@ -172,7 +177,7 @@ def url_zone_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT category, count(*) AS spans, count(DISTINCT page_id) AS pages FROM ({_spans('pages', 'html', 'page_id')}) GROUP BY category")
 def html_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.spans(_t(spark, sf_dir, "pages"), PORTABLE, "page_id", text="html", resolve=False)
+    found = detect.spans(_texts(spark, sf_dir, "pages"), PORTABLE, "page_id", text="html", resolve=False)
     return found.groupBy("category").agg(F.count("*").alias("spans"), F.countDistinct("page_id").alias("pages"))
 
 
