@@ -110,7 +110,8 @@ def spans(docs: DataFrame, rules: Sequence[Rule], *keys: str, text: str = "text"
     found = with_spans(docs, rules, text)
     if resolve:
         found = found.withColumn("spans", claimed(F.col("spans")))
-    return found.select(*keys, F.explode("spans").alias("_s")).select(*keys, "_s.*")
+    # An inner explode would be filtered by the array's size first, and for that the scan would run once more.
+    return found.select(*keys, F.explode_outer("spans").alias("_s")).filter("_s is not null").select(*keys, "_s.*")
 
 
 def outside(found: DataFrame, zones: DataFrame, *keys: str, exempt: Sequence[str] = ()) -> DataFrame:

@@ -78,7 +78,7 @@ def email_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, count(*) AS runs, count(*) FILTER ({_luhn('value')}) AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{{13,19}}')) AS value FROM documents) GROUP BY doc_id")
 def card_luhn_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{13,19}"), 0)).alias("value"))
+    runs = _t(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit("[0-9]{13,19}"), 0)).alias("value")).filter("value is not null")
     return runs.groupBy("doc_id").agg(F.count("*").alias("runs"), F.count_if(checks.luhn(F.col("value"))).alias("valid"))
 
 
@@ -135,7 +135,7 @@ def redacted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def redaction_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rewrite.redact(_texts(spark, sf_dir), PORTABLE)
-    return out.select("doc_id", F.posexplode(rewrite.segments(F.col("text"), F.col("spans"))).alias("nth", "segment")).select("doc_id", "nth", "segment.*")
+    return out.select("doc_id", F.posexplode_outer(rewrite.segments(F.col("text"), F.col("spans"))).alias("nth", "segment")).filter("segment is not null").select("doc_id", "nth", "segment.*")
 
 
 @query(
@@ -144,7 +144,7 @@ def redaction_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def token_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rewrite.redact(_texts(spark, sf_dir), APART, style="token")
-    return out.select("doc_id", F.explode("vault").alias("_e")).select("doc_id", "_e.*")
+    return out.select("doc_id", F.explode_outer("vault").alias("_e")).filter("_e is not null").select("doc_id", "_e.*")
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
