@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and what they fold to.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY"
+
+
+def _latin_with_marks() -> dict[str, str]:
+    """Each Latin letter with a mark, and its plain letter, by the letters' Unicode names."""
+    out = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        found = re.fullmatch(r"LATIN (SMALL|CAPITAL) LETTER (?:DOTLESS )?([A-Z])(?: WITH .+)?", unicodedata.name(chr(code), ""))
+        if found:
+            out[chr(code)] = found[2].lower() if found[1] == "SMALL" else found[2]
+    return out
+
+
+_FOLDED = _latin_with_marks()
 
 
 def fold_accents(v: Column) -> Column:
     """Latin letters without their marks; combining marks go too."""
-    return F.regexp_replace(F.translate(v, _MARKED, _PLAIN), "[̀-ͯ]", "")
+    return F.regexp_replace(F.translate(v, "".join(_FOLDED), "".join(_FOLDED.values())), "[̀-ͯ]", "")
 
 
 def entity_key(v: Column) -> Column:

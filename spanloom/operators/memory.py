@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,11 +53,11 @@ def _best_of(queries: pd.DataFrame, k: int):
             if not len(batch):
                 continue
             s = np.round(q @ _unit(batch["embedding"]).T, 6)
-            found = pd.DataFrame({"query_id": np.repeat(ids, len(batch)), "vec_id": np.tile(batch["vec_id"].to_numpy(), len(ids)), "similarity": s.ravel()})
-            if len(batch) > 4 * k:
-                near = np.argpartition(-s, 4 * k, axis=1)[:, : 4 * k]
-                edge = np.take_along_axis(s, near, 1).min(1)
-                found = found[(s >= edge[:, None]).ravel()]
+            others = batch["vec_id"].to_numpy()
+            # A query and k others at least, and all that tie with the last of them.
+            edge = np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] if len(batch) > k + 1 else np.full(len(ids), -np.inf)
+            at, near = np.nonzero(s >= edge[:, None])
+            found = pd.DataFrame({"query_id": ids[at], "vec_id": others[near], "similarity": s[at, near]})
             found = found[found["query_id"] != found["vec_id"]]
             held = found if held is None else pd.concat([held, found])
             held = held.sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
@@ -98,27 +99,30 @@ def hybrid(files: DataFrame, k: int = 10) -> DataFrame:
 
 
 def _checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the cluster's shared folder; only a session of this machine alone may do without one."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/spanloom-checkpoints"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="spanloom-"))
 
 
-def clusters(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
+def clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id, cluster: the least id that a node (id) is connected with over links (a, b).
 
-    Least labels of neighbours, then labels of labels, checkpointed each round.
+    Least labels of neighbours, then labels of labels, checkpointed each round, until no label changes: about the logarithm of the longest path.
     """
     _checkpoints(nodes.sparkSession)
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("cluster")).distinct().checkpoint()
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("cluster").alias("_near"))
         lower = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("cluster").alias("_was"), F.least("cluster", "_near").alias("_low"))
         up = labels.select(F.col("id").alias("_up"), F.col("cluster").alias("_over"))
         step = lower.join(up, F.col("_low") == F.col("_up"), "left").select("id", "_was", F.least("_low", "_over").alias("cluster")).checkpoint()
         labels = step.select("id", "cluster")
         if step.filter("cluster <> _was").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def budgeted(cards: DataFrame, scope: str, budget: int) -> DataFrame:

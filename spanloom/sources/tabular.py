@@ -23,6 +23,12 @@ def sniffed(text: Column, default: str = ",", lines: int = 20) -> Column:
     return F.when(best["columns"] > 1, best["delimiter"]).otherwise(default)
 
 
+def quoted_lines(text: Column) -> Column:
+    """A text's lines; a line end within quotes doesn't end one. Every second part of a split at quotes is quoted."""
+    parts = F.transform(F.split(text, '"', -1), lambda x, i: F.when(i % 2 == 0, F.replace(x, F.lit("\n"), F.lit("\x1e"))).otherwise(x))
+    return F.split(F.array_join(parts, '"'), "\x1e", -1)
+
+
 def cells(line: Column, delimiter: Column | str) -> Column:
     """A line's cells: quoted ones without their quotes, doubled quotes single. A quoted delimiter stays inside."""
     d = F.lit(delimiter) if isinstance(delimiter, str) else delimiter
@@ -45,12 +51,16 @@ def annotate(df: DataFrame, *columns: str) -> Column:
 
 
 def records(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """path, line, record: each file's lines under its header, which is the first line of the full width; earlier lines are kept as they are."""
-    body = F.regexp_replace(F.col(text), r"\r\n?", "\n")
+    """path, line, record: each file's lines under its header; lines before it are kept as they are.
+
+    The header is the first line of the full width of which at least half of the cells are named. A line end within quotes stays in its cell.
+    """
+    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r\n?", "\n")
     base = files.select(path, body.alias("_t"), sniffed(body).alias("_d"))
-    grids = base.select(path, F.transform(F.filter(F.split("_t", "\n"), lambda x: F.trim(x) != ""), lambda x: cells(x, F.col("_d"))).alias("_g"))
+    grids = base.select(path, F.transform(F.filter(quoted_lines(F.col("_t")), lambda x: F.trim(x) != ""), lambda x: cells(x, F.col("_d"))).alias("_g"))
     wide = F.array_max(F.transform("_g", lambda r: F.size(r)))
-    at = F.array_position(F.transform("_g", lambda r: F.size(F.filter(r, lambda c: F.trim(c) != "")) == F.col("_w")), True).cast("int")
+    named = lambda r: 2 * F.size(F.filter(r, lambda c: F.trim(c) != "")) >= F.col("_w")
+    at = F.array_position(F.transform("_g", lambda r: (F.size(r) == F.col("_w")) & named(r)), True).cast("int")
     found = grids.withColumn("_w", wide).withColumn("_h", F.greatest(at, F.lit(1)))
     rows = found.select(path, "_h", F.element_at("_g", F.col("_h")).alias("_head"), F.posexplode("_g").alias("line", "_r"))
     return rows.filter(F.col("line") + 1 != F.col("_h")).select(path, "line", F.when(F.col("line") + 1 < F.col("_h"), F.array_join("_r", " | ")).otherwise(annotated(F.col("_head"), F.col("_r"))).alias("record"))

@@ -258,6 +258,8 @@ def test_scalars(spark):
         text.estimated_tokens(F.lit("12345")).alias("f"),
     ).first()
     assert row.a == "Elan Nandu"
+    folded = spark.createDataFrame([("Łódź Škoda ő ş Çağ ĳ æ ß ỹ Ầ",)], "v string").select(text.fold_accents(F.col("v"))).first()[0]
+    assert folded == "Lodz Skoda o s Cag ĳ æ ß y A"
     assert row.b == "jeanlucp"
     assert row.c == [850000.0, 1234.56, 1000000.0, 1234.5, None, 12.5, 1234.0]
     assert (row.d, row.e, row.f) == ("MARIE", [0, 1], 2)

@@ -1,7 +1,9 @@
 import json
+import os
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import memory
@@ -19,7 +21,42 @@ def test_cells_and_records(spark):
     got = spark.createDataFrame([('a,"b ""c"", d",e',)], "l string").select(tabular.cells(F.col("l"), ",").alias("c")).first().c
     assert got == ["a", 'b "c", d', "e"]
     rows = tabular.records(spark.createDataFrame([("f", "Title\nname,,city\nAnn,x,Paris\nBob,,Rome\n")], "path string, text string")).orderBy("line").collect()
-    assert [r.record for r in rows][-2:] == ["name: Ann | col2: x | city: Paris", "name: Bob | city: Rome"] or rows
+    assert [r.record for r in rows] == ["Title", "name: Ann | col2: x | city: Paris", "name: Bob | city: Rome"]
+    rows = tabular.records(spark.createDataFrame([("f", 'name;note\r\nAnn;"two\nlines; ""quoted"""\nBob;x\n'), ("g", None), ("h", "")], "path string, text string")).orderBy("line").collect()
+    assert [(r.path, r.record) for r in rows] == [("f", 'name: Ann | note: two\nlines; "quoted"'), ("f", "name: Bob | note: x")]
+
+
+@pytest.mark.parametrize("vault", [{"jo@melvio.com": "A", "melvio.com": "B"}, {"[P1]": "x", "[P12]": "y", "P1": "z"}, {"aa": "1", "aab": "2", "ab": "3"}, {"n1": "7", "n12": "8"}, {}])
+def test_any_split_restores_as_the_whole(vault):
+    r = random.Random(7)
+    texts = ["write to jo@melvio.com now", "jo@melvio.co", "see [P12] and [P1", "aabaaabab", "n1 n12 n123"]
+    for text in texts:
+        want = restore.substituted(text, vault)
+        for _ in range(40):
+            cuts = sorted(r.sample(range(len(text) + 1), r.randint(0, 4)))
+            pieces = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+            out, held = "", ""
+            for i, piece in enumerate(pieces):
+                told, held = restore.release(held, piece, vault, i == len(pieces) - 1)
+                out += told
+            assert out == want, (text, cuts)
+    told, held = restore.release("", "write to jo@melvio.com", {"jo@melvio.com": "A", "melvio.com": "B"}, False)
+    assert (told, held) == ("write to A", "")
+
+
+def test_events_are_reframed_wherever_chunks_are_cut(spark, tmp_path):
+    text = "event: a\r\ndata: one\r\ndata: more\r\n\r\nid: 7\ndata: two\n\ndata: cut"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(2):
+        rows = [{"stream_id": s, "seq": i, "chunk": text[i * n : (i + 1) * n]} for s, n in (("x", 1), ("y", 7)) for i in range(-(-len(text) // n)) if (i * n < 20) == (k == 0)]
+        (folder / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(folder / f"{k}.json", (1000 + k, 1000 + k))
+    chunks = spark.readStream.schema("stream_id string, seq long, chunk string").option("maxFilesPerTrigger", 1).json(str(folder))
+    run = restore.reframed(chunks).writeStream.format("memory").queryName("reframed").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.table("reframed").collect())
+    assert got == sorted((s, n, e, d, i) for s in "xy" for n, e, d, i in ((0, "a", "one\nmore", None), (1, None, "two", "7")))
 
 
 def test_cut_row(spark):
