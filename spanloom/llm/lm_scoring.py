@@ -9,7 +9,7 @@ the language (while spelling, the two letters before); and the two symbols befor
 four). The last two look up a hashed slot for their context and place in the code. The predictions' log-odds are mixed by weights that a gate selects
 (how sure either context is); a further table maps the mix to how often it was right.
 Weights and table begin alike for each text and are refined online, after every STRIDE of its
-symbols, so a score depends on its text and the counts alone, and not on how rows are dealt. The sum of the bits'
+first EARLY symbols and then, as they have settled, after every LATER, so a score depends on its text and the counts alone, and not on how rows are dealt. The sum of the bits'
 logarithms is the text's log probability, and its bits per byte.
 
 Every training text is counted, in passes that are narrow maps with sums: words of all (shuffled as counts by
@@ -46,7 +46,7 @@ TOP, VOCABULARY, FREQUENT = 1 << 20, 1 << 16, 64
 SLOT_BITS, BLOCK_BITS = 22, 14
 STOP, END = 32, 256
 #: Symbols between refinements; step of the weights.
-STRIDE, STEP = 8, 0.02
+STRIDE, EARLY, LATER, STEP = 8, 512, 32, 0.02
 #: The remainder of the training texts that the weights are fitted to.
 WEIGHING = 1
 #: Classes of rarer words to a power of two of the count.
@@ -215,8 +215,12 @@ class Model:
         texts_, codes = len(first) - 1, self.vocabulary.codes
         one, two = contexts(of, first, self.vocabulary.first_word)
         lens = np.diff(first)
-        doc = np.repeat(np.arange(texts_, dtype=np.int32), lens)
-        stride = ((np.arange(len(of)) - np.repeat(first[:-1], lens)) // STRIDE).astype(np.int32)
+        # Texts are numbered from the longest on, so that those which a stride still reaches are the first ones.
+        rank = np.empty(texts_, np.int32)
+        rank[np.argsort(-lens, kind="stable")] = np.arange(texts_)
+        doc = np.repeat(rank, lens)
+        place = np.arange(len(of)) - np.repeat(first[:-1], lens)
+        stride = np.where(place < EARLY, place // STRIDE, EARLY // STRIDE + (place - EARLY) // LATER).astype(np.int32)
         # All texts' first strides, then all second ones, and so on.
         order = np.argsort(stride.astype(np.uint16) if len(stride) and stride.max() < 65536 else stride, kind="stable")
         of, one, two, doc, stride = of[order], one[order], two[order], doc[order], stride[order]
@@ -238,22 +242,24 @@ class Model:
             lo, hi = int(ends[a]), int(ends[b])
             k, y, d = key[lo:hi], bit[lo:hi].astype(np.float32), of_doc[lo:hi]
             part = [v[lo:hi] for v in x]
+            active = int(d.max()) + 1 if hi > lo else 0
             mixed = sum(w[k] * v for w, v in zip(weights, part, strict=True))
             np.clip(mixed, -11.5, 11.5, out=mixed)
             p = 1 / (1 + np.exp(-mixed))
             cell = d * np.int32(CELLS) + np.clip((mixed + 8) * np.float32(CELLS / 16), 0, CELLS - 1).astype(np.int32)
             refined = (right[cell] + np.float32(PRIOR) * p) / (seen[cell] + np.float32(PRIOR))
             final = np.float32(0.5) * (p + refined)
-            result += np.bincount(d, np.log(np.abs(final - (1 - y))), texts_)
+            result[:active] += np.bincount(d, np.log(np.abs(final - (1 - y))), active)
             # No use in learning from a chunk's last stride.
             if b < len(of):
                 wrong = (y - p) * np.float32(STEP)
+                gates, cells = active * LEVELS * LEVELS, active * CELLS
                 for w, v in zip(weights, part, strict=True):
-                    w += np.bincount(k, wrong * v, len(w)).astype(np.float32).clip(-0.2, 0.2)
-                both = np.bincount(cell * 2 + bit[lo:hi], minlength=2 * len(seen)).reshape(-1, 2)
-                right += both[:, 1]
-                seen += both.sum(1)
-        return result
+                    w[:gates] += np.bincount(k, wrong * v, gates).clip(-0.2, 0.2)
+                both = np.bincount(cell * 2 + bit[lo:hi], minlength=2 * cells).reshape(-1, 2)
+                right[:cells] += both[:, 1]
+                seen[:cells] += both.sum(1)
+        return result[rank]
 
 
 #: How sure a kept log-odds is: unseen, weak, middling, strong.
