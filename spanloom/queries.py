@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import checks
 from .functions.text import scrubbed, windows
-from .operators import analytics, detect, evaluate, memory, merge, rewrite
+from .operators import analytics, detect, evaluate, gates, memory, merge, reports, rewrite
 from .operators.rules import PORTABLE, catalogue
 from .sources import files, tabular
 
@@ -323,9 +323,15 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.clusters(e.select(F.col("vec_id").alias("id")), memory.similar_pairs(e, LIKE, "label"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT label, vec_id AS id, vec_id * 7919 % 1009 AS score, vec_id * 31 % 500 + 20 AS size FROM embeddings),
+    o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS k FROM c),
+    w AS (SELECT label, 0::BIGINT AS k, 0::BIGINT AS used, 0 AS taken, NULL::BIGINT AS id FROM (SELECT DISTINCT label FROM o)
+          UNION ALL SELECT o.label, o.k, CASE WHEN w.used + o.size <= 4000 THEN w.used + o.size ELSE w.used END, CASE WHEN w.used + o.size <= 4000 THEN 1 ELSE 0 END, o.id FROM w JOIN o ON o.label = w.label AND o.k = w.k + 1)
+    SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY k) - 1 AS nth, max(used) OVER (PARTITION BY label) AS used FROM w WHERE taken = 1"""
+)
 def memory_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy choice within a budget, by label; tests hold it against a loop."""
+    """Greedy choice within a budget, by label."""
     e = _t(spark, sf_dir, "embeddings")
     return memory.budgeted(e.select("label", F.col("vec_id").alias("id"), (F.col("vec_id") * 7919 % 1009).alias("score"), (F.col("vec_id") * 31 % 500 + 20).alias("size")), "label", 4000)
 
@@ -407,3 +413,124 @@ def chat_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     exports = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("chat_messages"))
     written = exports.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("uuid"), "chat_messages")).alias("export"))
     return files.flat_chats(written)
+
+
+_VAULT = "SELECT conv_id, string_split(text, ' ')[1] AS value, role AS category FROM conversations"
+
+
+def _conversation_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word of each turn as a vault entry: the test conversations hold no sensitive values."""
+    return _t(spark, sf_dir, "conversations").select("conv_id", F.split("text", " ")[0].alias("value"), F.col("role").alias("category"))
+
+
+@query(
+    f"""WITH v AS (SELECT DISTINCT * FROM ({_VAULT}) WHERE length(value) > 0), m AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user')
+    SELECT category, count(DISTINCT (m.conv_id, m.turn)) AS messages, count(*) AS mentions FROM m JOIN v ON v.conv_id = m.conv_id AND contains(m.text, v.value) GROUP BY category"""
+)
+def message_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.message_breakdown(_t(spark, sf_dir, "conversations").filter("role = 'user'"), _conversation_vault(spark, sf_dir))
+
+
+@query(
+    f"""WITH c AS (SELECT conv_id, category, count(DISTINCT value) AS n FROM ({_VAULT}) GROUP BY 1, 2)
+    SELECT conv_id, CAST(sum(n) AS BIGINT) AS total, string_agg(category || '=' || n, ',' ORDER BY category) AS kinds FROM c GROUP BY conv_id"""
+)
+def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.conversation_events(_conversation_vault(spark, sf_dir))
+
+
+@query(
+    """WITH k AS (SELECT p_brand AS category, min(p_name) AS value, regexp_replace(lower(p_name), '[\\s._-]+', '', 'g') AS k FROM part GROUP BY 1, 3),
+    w AS (SELECT category, k, regexp_replace(lower(unnest(string_split_regex(value, '\\s+'))), '[\\s._-]+', '', 'g') AS w FROM k)
+    SELECT category, count(*) AS entries FROM k WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM w WHERE w.category = k.category AND w.w = k.k AND w.k <> k.k) GROUP BY category"""
+)
+def protected_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.protected_entries(_t(spark, sf_dir, "part").select(F.col("p_brand").alias("category"), F.col("p_name").alias("value")))
+
+
+@query(
+    """WITH l AS (SELECT user_id AS conv_id, ts AS "at", event_id AS id, max(ts) OVER (PARTITION BY user_id) AS latest FROM events)
+    SELECT conv_id, "at", id, nth FROM (SELECT *, row_number() OVER (ORDER BY latest DESC, conv_id, "at" DESC, id) - 1 AS nth FROM l) WHERE nth >= 40 AND nth < 60"""
+)
+def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of twenty rows: a limit that is the feature."""
+    e = _t(spark, sf_dir, "events")
+    return reports.audit_page(e.select(F.col("user_id").alias("conv_id"), F.col("ts").alias("at"), F.col("event_id").alias("id")), 20, 2)
+
+
+@query(
+    """WITH u AS (SELECT user_id AS card, count(DISTINCT event_id % 50) AS conversations, max(ts) AS last_used FROM events WHERE event_type = 'purchase' GROUP BY 1),
+    s AS (SELECT user_id AS card, max(ts) AS s FROM events WHERE event_type = 'error' GROUP BY 1)
+    SELECT coalesce(u.card, s.card) AS card, coalesce(conversations, 0) AS conversations, last_used, CASE WHEN last_used IS NULL OR s > last_used THEN s END AS skipped_since FROM u FULL JOIN s ON u.card = s.card"""
+)
+def usage_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("card"), (F.col("event_id") % 50).alias("conv_id"), F.col("ts").alias("at"), "event_type")
+    return reports.usage_index(e.filter("event_type = 'purchase'"), e.filter("event_type = 'error'"))
+
+
+@query(
+    """SELECT "user", "group" FROM (SELECT o_custkey AS "user", o_orderkey AS "group", row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders WHERE o_orderstatus <> 'F') WHERE k = 1"""
+)
+def first_active_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    members = o.select(F.col("o_custkey").alias("user"), F.col("o_orderkey").alias("group"))
+    return reports.first_active(members, o.select(F.col("o_orderkey").alias("group"), F.col("o_orderdate").alias("created"), (F.col("o_orderstatus") != "F").alias("active")))
+
+
+@query("SELECT doc_id AS id, 'm' || doc_id % 3 AS model, sha256(coalesce(text, '')) AS text_hash FROM documents WHERE doc_id % 4 = 0 OR doc_id % 3 = 1")
+def stale_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter has no embedding, and of one model all were made of other texts."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model"), "text")
+    stored = d.filter("id % 4 <> 0").select("id", "model", F.sha2(F.when(F.col("id") % 3 == 1, F.lit("before")).otherwise(F.coalesce("text", F.lit(""))), 256).alias("text_hash"))
+    return reports.stale(d, stored)
+
+
+@query(
+    """WITH m AS (SELECT event_type, user_id % 3 AS "group", CAST(event_id % 5 < 3 AS INTEGER) AS tp, CAST(event_id % 5 = 3 AS INTEGER) AS fp, CAST(event_id % 5 = 4 AS INTEGER) AS fn FROM events),
+    g AS (SELECT 'all' AS "by", '' AS value, tp, fp, fn FROM m UNION ALL SELECT 'event_type', event_type, tp, fp, fn FROM m UNION ALL SELECT 'group', CAST("group" AS VARCHAR), tp, fp, fn FROM m),
+    s AS (SELECT "by", value, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM g GROUP BY 1, 2)
+    SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM s"""
+)
+def grouped_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id") % 5
+    marked = _t(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 3).alias("group"), (i < 3).cast("int").alias("tp"), (i == 3).cast("int").alias("fp"), (i == 4).cast("int").alias("fn"))
+    return reports.grouped_rates(marked, "event_type", "group")
+
+
+@query("SELECT DISTINCT id, neighbour FROM (SELECT user_id AS id, event_id % 97 AS neighbour FROM events UNION ALL SELECT event_id % 97, user_id FROM events) WHERE id <> neighbour")
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.neighbours(_t(spark, sf_dir, "events").select(F.col("user_id").alias("a"), (F.col("event_id") % 97).alias("b")))
+
+
+@query(
+    """WITH l AS (SELECT item_id AS id, 0 AS tier, CAST(CAST(contains(text, 'than') AS INTEGER) + CAST(contains(text, 'inble') AS INTEGER) AS DOUBLE) AS score FROM benchmark WHERE contains(text, 'than') OR contains(text, 'inble')),
+    s AS (SELECT item_id AS id, 1 AS tier, (item_id * 37 % 100) / 100.0::DOUBLE AS score FROM benchmark WHERE (item_id * 37 % 100) / 100.0::DOUBLE >= 0.88 AND item_id NOT IN (SELECT id FROM l))
+    SELECT * FROM (SELECT *, row_number() OVER (ORDER BY tier, score DESC, id) AS nth FROM (SELECT * FROM l UNION ALL SELECT * FROM s)) WHERE nth <= 12"""
+)
+def tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _t(spark, sf_dir, "benchmark")
+    words = b.select(F.col("item_id").alias("id"), (F.contains("text", F.lit("than")).cast("int") + F.contains("text", F.lit("inble")).cast("int")).alias("score"))
+    return reports.tiered_search(words, b.select(F.col("item_id").alias("id"), (F.col("item_id") * 37 % 100 / F.lit(100.0)).alias("cosine")), 12)
+
+
+@query(
+    """WITH e AS (SELECT event_id, ts, TIMESTAMP '2024-01-10' AS b, TIMESTAMP '2024-01-15' AS f FROM events)
+    SELECT event_id, CASE WHEN ts >= b AND ts < f THEN b ELSE date_trunc('month', ts) END AS period_start, CASE WHEN ts >= b AND ts < f THEN f ELSE date_trunc('month', ts) + INTERVAL 1 MONTH END AS period_end FROM e"""
+)
+def credit_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda d: F.lit(d).cast("timestamp")
+    return _t(spark, sf_dir, "events").select("event_id", reports.credit_period(F.col("ts").cast("timestamp"), day("2024-01-10"), day("2024-01-15")).alias("_p")).select("event_id", "_p.*")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN (1700000000 + o_orderkey)::DOUBLE ELSE (1700000000000 + o_orderkey)::DOUBLE / 1000 END AS seconds, trim(regexp_replace(reverse(CAST(o_orderkey * 12345 AS VARCHAR)), '([0-9]{3})', '\\1 ', 'g')) AS backwards FROM orders")
+def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", reports.epoch_seconds(F.when(k % 2 == 0, k + 1_700_000_000).otherwise(k + 1_700_000_000_000)).alias("seconds"), F.reverse(reports.spaced_thousands(k * 12345)).alias("backwards"))
+
+
+@query()
+def gated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the catalogue after edge trims, line splits, de-nesting and the number gate, by category; tests hold each gate against a loop."""
+    found = detect.with_spans(_texts(spark, sf_dir), catalogue()).select("doc_id", gates.numbers_with_meaning(gates.denested(gates.by_line(gates.trimmed(F.col("spans"))))).alias("spans"))
+    rows = found.select("doc_id", F.explode_outer("spans").alias("_s")).filter("_s is not null")
+    return rows.groupBy("_s.category").agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("docs"))
