@@ -54,7 +54,13 @@ def test_events_are_reframed_wherever_chunks_are_cut(spark, tmp_path):
         os.utime(folder / f"{k}.json", (1000 + k, 1000 + k))
     chunks = spark.readStream.schema("stream_id string, seq long, chunk string").option("maxFilesPerTrigger", 1).json(str(folder))
     run = restore.reframed(chunks).writeStream.format("memory").queryName("reframed").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    # State with a time-out keeps a stream going: it is stopped once all is told.
+    try:
+        for _ in range(120):
+            if run.awaitTermination(1) or spark.table("reframed").count() >= 4:
+                break
+    finally:
+        run.stop()
     got = sorted(tuple(r) for r in spark.table("reframed").collect())
     assert got == sorted((s, n, e, d, i) for s in "xy" for n, e, d, i in ((0, "a", "one\nmore", None), (1, None, "two", "7")))
 
