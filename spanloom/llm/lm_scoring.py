@@ -16,8 +16,10 @@ Every training text is counted, in passes that are narrow maps with sums: words
 hash); then the bits' slots (as blocks of partial sums of the two tables) of all but a fold of the training texts; then, on that
 fold, whose texts the slots have not seen, how often a bit was 1 by what its three predictions said, to
 which the weights that texts begin with are fitted; then scoring. What the driver and the tasks hold is bounded: the TOP commonest words' counts,
-VOCABULARY codes, their classes' and two tables of 2 ** SLOT_BITS bytes. The word counts grow with the input: those of all rarer words stay in a
-table, and the base scores of texts that use them are completed by a join. The tables of bits don't: beyond their size, contexts share slots.
+VOCABULARY codes, their classes' and two tables of slots. The word counts grow with the input: those of all rarer words stay in a
+table, and the base scores of texts that use them are completed by a join. The tables of slots grow more slowly, doubling whenever the training
+words are 2 ** GROWTH times as many (slot_bits), so that a task can still hold them: 2 x 4 MB up to 2 ** WORDS_BITS words (about 0.4 GB of
+text), 2 x 16 MB at 30 GB, 2 x 256 MB at 100 TB. What a slot can't tell apart, contexts share.
 
 Words are told apart by 64-bit hashes.
 
@@ -43,7 +45,9 @@ from .text_arrays import Words, slices, texts, words
 
 FOLDS = 10
 TOP, VOCABULARY, FREQUENT = 1 << 20, 1 << 16, 64
-SLOT_BITS, BLOCK_BITS = 22, 14
+BLOCK_BITS = 14
+#: Slots of a table for up to 2 ** WORDS_BITS training words, and how many doublings of the words double it from there on.
+SLOT_BITS, WORDS_BITS, GROWTH = 22, 26, 3
 STOP, END = 32, 256
 #: Symbols between refinements; step of the weights.
 STRIDE, EARLY, LATER, STEP = 8, 512, 32, 0.02
@@ -59,7 +63,7 @@ EVEN, STEPS, RIDGE = 1 / 3, 32, 1.0
 #: Cells of the last table, and the observations that its beginning counts for.
 CELLS, PRIOR = 24, 60.0
 SLICE = 1 << 20
-#: The most bytes of text that a task sums slots of: 32-bit sums last, and little is lost with a task.
+#: The most bytes of text that a task sums slots of, so that little is lost with a task.
 TASK_BYTES = 1 << 30
 #: How many words a task gathers before it passes counts on.
 GATHER = 1 << 20
@@ -69,6 +73,11 @@ _LOWER[65:91] += 32
 U32 = np.uint32
 
 
+def slot_bits(tokens: int) -> int:
+    """Bits of the number of a slot, where so many words were counted."""
+    return SLOT_BITS + max(0, tokens.bit_length() - 1 - WORDS_BITS) // GROWTH
+
+
 @dataclass
 class Codes:
     """Huffman codes: of symbol s the nodes and bits from begin[s] to begin[s + 1]; odds: log-odds of a 1 at each node."""
@@ -112,7 +121,7 @@ def huffman(weights: np.ndarray) -> Codes:
 class Vocabulary:
     """Sorted hashes of the commonest words with their counts and the symbol of each: of its own from first_word on, or its class's.
 
-    alike: the logarithm of how many words a symbol stands for.
+    alike: the logarithm of how many words a symbol stands for; tokens: words and ends counted, which the tables' size follows from.
     """
 
     hashes: np.ndarray
@@ -177,8 +186,8 @@ def contexts(of: np.ndarray, first: np.ndarray, first_word: int) -> tuple[np.nda
     return np.where(spelling, two, (latest.astype(U32) + U32(3)) * U32(0xC2B2AE35)), np.where(spelling, four ^ (four >> U32(13)), two)
 
 
-def bits(codes: Codes, of: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Symbol number, node, bit and slots of orders 1 and 2 of each bit."""
+def bits(codes: Codes, wide: int, of: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Symbol number, node, bit and slots of orders 1 and 2, of wide bits, of each bit."""
     n = (codes.begin[1:] - codes.begin[:-1])[of]
     symbol = np.repeat(np.arange(len(of), dtype=np.int32), n)
     at = np.arange(len(symbol)) + np.repeat(codes.begin[:-1][of] - (np.cumsum(n) - n), n)
@@ -189,7 +198,7 @@ def bits(codes: Codes, of: np.ndarray, one: np.ndarray, two: np.ndarray) -> tupl
         h = (c[symbol] ^ step) * U32(0x165667B1)
         h ^= h >> U32(15)
         h *= U32(0x9E3779B1)
-        slots.append((h >> U32(32 - SLOT_BITS)).astype(np.int32))
+        slots.append((h >> U32(32 - wide)).astype(np.int32))
     return symbol, node, codes.bit[at], *slots
 
 
@@ -204,7 +213,7 @@ class Model:
     def cells(self, of: np.ndarray, first: np.ndarray) -> np.ndarray:
         """How many zeros and ones came after each combination of the three predictions' levels."""
         codes = self.vocabulary.codes
-        _, node, bit, s1, s2 = bits(codes, of, *contexts(of, first, self.vocabulary.first_word))
+        _, node, bit, s1, s2 = bits(codes, slot_bits(self.vocabulary.tokens), of, *contexts(of, first, self.vocabulary.first_word))
         cell = _LEVEL[np.rint(codes.odds * SCALE).clip(-127, 127).astype(np.int8).view(np.uint8)][node]
         for table, s in zip(self.tables, (s1, s2), strict=True):
             cell = cell * np.int32(STEPS) + _LEVEL[table[s].view(np.uint8)]
@@ -224,7 +233,7 @@ class Model:
         # All texts' first strides, then all second ones, and so on.
         order = np.argsort(stride.astype(np.uint16) if len(stride) and stride.max() < 65536 else stride, kind="stable")
         of, one, two, doc, stride = of[order], one[order], two[order], doc[order], stride[order]
-        symbol, node, bit, s1, s2 = bits(codes, of, one, two)
+        symbol, node, bit, s1, s2 = bits(codes, slot_bits(self.vocabulary.tokens), of, one, two)
         x = [codes.odds[node]]
         sure = []
         for table, s in zip(self.tables, (s1, s2), strict=True):
@@ -378,21 +387,35 @@ def vocabulary_from(h: np.ndarray, n: np.ndarray, chosen: np.ndarray, rarer: np.
     return Vocabulary(h, n, symbol, huffman(weights), alike, first_word, running + ends, distinct + bool(ends), ends)
 
 
+def _sums(block: int, cells: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([cells.astype(np.uint16).tobytes()]), pa.array([n.astype(np.int32).tobytes()])], names=["block", "cells", "counts"])
+
+
 def _slots(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """block, cells, counts: partial sums of zeros and ones of the slots of both tables, by block."""
-    sums = np.zeros((2, 2 << SLOT_BITS), np.int32)
+    """block, cells, counts: partial sums of zeros and ones of the slots of both tables, by block.
+
+    Sums are held in 16 bits; one that outgrows them is passed on and begins anew.
+    """
+    wide, width = slot_bits(vocabulary.tokens), 2 << BLOCK_BITS
+    sums = np.zeros((2, 2 << wide), np.uint16)
     for part in slices(batches, most=SLICE):
         found = words(*texts(part.column(1)))
         of, first = symbols(vocabulary, found, vocabulary.find(found.hashes))
-        _, _, bit, *slots = bits(vocabulary.codes, of, *contexts(of, first, vocabulary.first_word))
-        for table, s in zip(sums, slots, strict=True):
+        _, _, bit, *slots = bits(vocabulary.codes, wide, of, *contexts(of, first, vocabulary.first_word))
+        for number, s in enumerate(slots):
             cells, n = np.unique(s * 2 + bit, return_counts=True)
-            table[cells] += n.astype(np.int32)
-    width = 2 << BLOCK_BITS
+            n += sums[number, cells]
+            full = np.flatnonzero(n > np.iinfo(np.uint16).max)
+            block = cells[full] // width
+            for k in np.unique(block):
+                own = full[block == k]
+                yield _sums((number * (2 << wide) // width) + int(k), cells[own] % width, n[own])
+            n[full] = 0
+            sums[number, cells] = n
     for block, held in enumerate(sums.reshape(-1, width)):
         cells = np.flatnonzero(held)
         if len(cells):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([cells.astype(np.uint16).tobytes()]), pa.array([held[cells].tobytes()])], names=["block", "cells", "counts"])
+            yield _sums(block, cells, held[cells])
 
 
 def _odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +453,7 @@ def train(docs: DataFrame, folds: int = FOLDS) -> tuple[Model, DataFrame]:
     weighing = fold(F.col("doc_id"), folds) == WEIGHING
     partial = docs.filter(~weighing).coalesce(few).mapInArrow(lambda x: _slots(shared.value, x), "block int, cells binary, counts binary")
     blocks = partial.repartition("block").mapInArrow(_odds, "block int, odds binary").collect()
-    tables = np.zeros((2 << SLOT_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.int8)
+    tables = np.zeros((2 << slot_bits(vocabulary.tokens) - BLOCK_BITS, 1 << BLOCK_BITS), np.int8)
     for r in blocks:
         tables[r["block"]] = np.frombuffer(r["odds"], np.int8)
     model = Model(vocabulary, tuple(tables.reshape(2, -1)), np.full((LEVELS * LEVELS, 3), EVEN))

@@ -276,6 +276,33 @@ def test_weights_are_those_that_made_the_bits():
     assert (lm_scoring.fitted(np.zeros(2 * n**3)) == lm_scoring.EVEN).all()
 
 
+def test_tables_grow_with_the_words():
+    assert [lm_scoring.slot_bits(n) for n in (0, 1, 1 << 26, 1 << 29, 1 << 32, 1 << 44)] == [22, 22, 22, 23, 24, 28]
+
+
+@pytest.mark.parametrize("tokens", [1 << 20, 1 << 29])
+def test_slots_are_all_counted(tokens):
+    """Partial sums by block add up to the bits themselves, also where a sum outgrows 16 bits, in tables of either size."""
+    r = np.random.default_rng(1)
+    docs = [" ".join(r.choice(["a", "b", "new", "zz"], 9)) for _ in range(12_000)] + ["a a a a a a a a"] * 20_000
+    h, n = np.unique(lm_scoring.words(*lm_scoring.texts(pa.array(["a", "b"]))).hashes, return_counts=True)
+    v = lm_scoring.vocabulary_from(h, n, np.arange(2), np.zeros(0, int), np.ones(256), tokens, 4, 1)
+    wide = lm_scoring.slot_bits(v.tokens)
+    got = np.zeros((4 << wide) // (2 << lm_scoring.BLOCK_BITS) * (2 << lm_scoring.BLOCK_BITS), np.int64).reshape(-1, 2 << lm_scoring.BLOCK_BITS)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(d))), pa.array(d)], names=["doc_id", "text"]) for d in (docs[:7_000], docs[7_000:])]
+    rows = 0
+    for b in lm_scoring._slots(v, iter(batches)):
+        for block, cells, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            np.add.at(got[block], np.frombuffer(cells, np.uint16), np.frombuffer(counts, np.int32))
+            rows += 1
+    found = lm_scoring.words(*lm_scoring.texts(pa.array(docs)))
+    of, first = lm_scoring.symbols(v, found, v.find(found.hashes))
+    _, _, bit, *slots = lm_scoring.bits(v.codes, wide, of, *lm_scoring.contexts(of, first, v.first_word))
+    want = np.concatenate([np.bincount(s.astype(np.int64) * 2 + bit, minlength=2 << wide) for s in slots])
+    assert want.max() > 65535 and rows > len(np.unique(np.flatnonzero(want) // (2 << lm_scoring.BLOCK_BITS)))
+    assert (got.ravel() == want).all()
+
+
 def test_one_word_more_is_never_likelier():
     """Every text's probability is a product over its symbols' bits: a longer text with the same beginning has less, however short."""
     docs = ["the cat sat", "the cat sat on", "the cat sat on the mat", "zzz"]
