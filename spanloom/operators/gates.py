@@ -6,7 +6,7 @@ their order. A null or empty array gives itself. What is compared with what is s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,3 +87,11 @@ def by_line(spans: Column, categories: Sequence[str] = ("name", "company")) -> C
 def anchored_places(spans: Column, places: Sequence[str] = ("location",)) -> Column:
     """Places stay only beside a span of another category."""
     return F.when(F.exists(spans, lambda s: ~s["category"].isin(*places)), spans).otherwise(F.filter(spans, lambda s: ~s["category"].isin(*places)))
+
+
+def longest_valid(value: Column, check: Callable[[Column], Column], trims: int = 12) -> Column:
+    """value without as few of its last words (at most trims) as make it pass the check; null where none does, or for a null value."""
+    words = F.split(value, " ")
+    n = F.size(words)
+    cuts = F.sequence(F.lit(0), F.least(n - 1, F.lit(trims)))
+    return F.when(value.isNotNull(), F.get(F.filter(F.transform(cuts, lambda k: F.array_join(F.slice(words, F.lit(1), n - k), " ")), lambda x: F.coalesce(check(x), F.lit(False))), F.lit(0)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import checks
 from .functions.text import scrubbed, windows
-from .operators import analytics, detect, evaluate, gates, memory, merge, reports, rewrite
+from .operators import analytics, detect, evaluate, gates, labels, memory, merge, replay, reports, rewrite
 from .operators.rules import PORTABLE, catalogue
 from .sources import files, tabular
 
@@ -534,3 +534,56 @@ def gated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.with_spans(_texts(spark, sf_dir), catalogue()).select("doc_id", gates.numbers_with_meaning(gates.denested(gates.by_line(gates.trimmed(F.col("spans"))))).alias("spans"))
     rows = found.select("doc_id", F.explode_outer("spans").alias("_s")).filter("_s is not null")
     return rows.groupBy("_s.category").agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("docs"))
+
+
+def _replayed(text: str, pattern: str, mark: str) -> str:
+    """SQL of a replacement between edges, made twice, since neighbours share an edge."""
+    edge = "[^\\p{L}\\p{N}_]"
+    once = lambda x: f"regexp_replace({x}, '(^|{edge})(?i:{pattern})($|{edge})', '\\1{mark}\\2', 'g')"
+    return once(once(text))
+
+
+@query(f"SELECT doc_id, {_replayed(_replayed(_replayed('text', 'of[[:space:]._-]*the', '[TERM1]'), 'inble', '[TERM2]'), 'than', '[TERM3]')} AS replayed FROM documents")
+def replay_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known values become placeholders again, whatever their case and separators."""
+    entry = lambda p, v: F.struct(F.lit(p).alias("placeholder"), F.lit(v).alias("value"))
+    vault = F.array(entry("[TERM3]", "than"), entry("[TERM1]", "of the"), entry("[TERM2]", "inble"))
+    return _texts(spark, sf_dir).select("doc_id", replay.replayed(F.col("text"), vault).alias("replayed"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 3 <> 0)
+    SELECT c_custkey, 'Name' AS label, 'name' AS category, c_name AS value FROM c UNION ALL SELECT c_custkey, 'Company', 'company', c_mktsegment FROM c UNION ALL SELECT c_custkey, 'Ciudad', 'location', 'place ' || c_nationkey FROM c"""
+)
+def label_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three labels with their values below; every third customer has one value too few."""
+    c = _t(spark, sf_dir, "customer")
+    place = F.concat(F.lit("place "), F.col("c_nationkey").cast("string"))
+    text = F.concat_ws("\n", F.lit("Dear team,"), F.lit("Name"), F.lit("Company:"), F.lit("Ciudad"), "c_name", "c_mktsegment", F.when(F.col("c_custkey") % 3 != 0, place).otherwise(""), F.lit("bye"))
+    return c.select("c_custkey", F.explode(labels.blocks(text)).alias("_f")).select("c_custkey", "_f.*")
+
+
+@query(
+    """SELECT s_suppkey, 'Name' AS label, 'name' AS category, s_name AS value FROM supplier UNION ALL SELECT s_suppkey, 'E-Mail', 'email', 's' || s_suppkey || '@melvio.example' FROM supplier
+    UNION ALL SELECT s_suppkey, 'Téléphone', 'phone', '0' || (s_suppkey + 100000000) FROM supplier"""
+)
+def labelled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _t(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    mail, phone = F.concat(F.lit("E-Mail = s"), key.cast("string"), F.lit("@melvio.example")), F.concat(F.lit("0"), (key + 100_000_000).cast("string"))
+    text = F.concat_ws("\n", F.concat(F.lit("Name: "), "s_name"), mail, F.lit("Téléphone:"), phone, F.lit("note: none"), F.lit("City:"), F.lit("Name:"))
+    return s.select("s_suppkey", F.explode(labels.fields(text)).alias("_f")).select("s_suppkey", "_f.*")
+
+
+_CARD = "'4000 0000 0000 0' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0')"
+
+
+@query(
+    f"""WITH v AS (SELECT o_orderkey, {_CARD} AS a, {_CARD} || ' ' || o_orderkey % 10 AS b FROM orders)
+    SELECT o_orderkey, CASE WHEN {_luhn("b")} THEN b WHEN {_luhn("a")} THEN a END AS card FROM v"""
+)
+def valid_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a number that runs into further digits is a card number."""
+    k = F.col("o_orderkey")
+    value = F.concat(F.lit("4000 0000 0000 0"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" "), (k % 10).cast("string"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", gates.longest_valid(value, checks.card).alias("card"))
