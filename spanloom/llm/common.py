@@ -74,3 +74,18 @@ def held_out(doc_id: Column, folds: int) -> Column:
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """A column by its exact name, or nulls of the kind where df has none."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+#: Keys that more than one in so many rows have are hot; there are fewer of them than this.
+HOT = 2048
+
+
+def attached(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, hot: int = HOT) -> DataFrame:
+    """rows joined with a table of one row a key, whose column n says how many of the rows, total in all, have that key.
+
+    Keys of more than total / hot rows are fewer than hot and are broadcast; no other key gives a task more than that share. The table and the rows
+    are read twice, so both should be written. A null key meets nothing.
+    """
+    often = F.col(n) * hot > total
+    few = F.broadcast(table.filter(often))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(table.filter(~often), key))

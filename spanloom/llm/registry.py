@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_formatting, lm_scoring, media, mixing, near_dedup, packing, quality_classifier, quality_rules, url_filters, warc
+from . import chat_formatting, exact_dedup, lm_scoring, media, mixing, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, spelling, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_near_dedup, op4_lm_scoring, op5_warc, op6_url_filters, op7_quality_rules, op8_packing, op9_chat_formatting, op10_media)}
-ORACLES = {"op1_mixing": mixing.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op6_url_filters": url_filters.ORACLE_SQL, "op9_chat_formatting": chat_formatting.ORACLE_SQL}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_near_dedup, op4_lm_scoring, op5_warc, op6_url_filters, op7_quality_rules, op8_packing, op9_chat_formatting, op10_media, op11_exact_dedup, op12_prefix_trie, op13_spelling)}
+ORACLES = {
+    "op1_mixing": mixing.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op6_url_filters": url_filters.ORACLE_SQL, "op9_chat_formatting": chat_formatting.ORACLE_SQL,
+    "op11_exact_dedup": exact_dedup.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL,
+}
