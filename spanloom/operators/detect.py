@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import CHECKS
+from .dictionary import scan
 from .rules import Rule
 
 OPEN, CLOSE = "\x01", "\x02"
@@ -140,35 +141,10 @@ def without(found: DataFrame, keep: DataFrame) -> DataFrame:
     return found.join(listed, F.lower(F.trim(found["value"])) == listed["_keep"], "left_anti")
 
 
-#: Hash buckets of the secrets' beginnings: what the texts' scan is given is bounded by it.
-BUCKETS = 1 << 16
-
-
 def exact(docs: DataFrame, secrets: DataFrame, *keys: str, text: str = "text", least: int = 4) -> DataFrame:
-    """keys, value of listed secrets (value) that a text holds anywhere, trimmed and of at least ``least`` characters.
-
-    The next ``least`` characters of every place of a text are looked up in the buckets of the secrets' beginnings. A place that
-    passes offers its next characters in each length that a secret has, and one of these must equal the secret.
-    """
-    spark, width = docs.sparkSession, max(1, least)
-    listed = secrets.select(F.trim("value").alias("value")).filter(F.length("value") >= width).distinct()
-
-    def bucket(begin: Column) -> Column:
-        return F.pmod(F.xxhash64(begin), F.lit(BUCKETS)).cast("int")
-
-    held = {r["b"] for r in listed.select(bucket(F.substring("value", 1, width)).alias("b")).distinct().collect()}
-    lengths = sorted(r["n"] for r in listed.select(F.length("value").alias("n")).distinct().collect())
-    flags = spark.createDataFrame([([i in held for i in range(BUCKETS)], lengths)], "_held array<boolean>, _lengths array<int>")
-    # Characters in an array: a place is found at once, while substring() counts from the text's beginning.
-    placed = docs.select(*keys, F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "").alias("_chars")).crossJoin(F.broadcast(flags))
-
-    def run(at: Column, n: Column | int) -> Column:
-        return F.array_join(F.slice("_chars", at, n), "")
-
-    last = F.size("_chars") - width + 1
-    places = F.filter(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda at: F.element_at("_held", bucket(run(at, width)) + 1))
-    offered = F.flatten(F.transform(places, lambda at: F.transform(F.filter("_lengths", lambda n: n <= F.size("_chars") - at + 1), lambda n: run(at, n))))
-    return placed.select(*keys, F.explode(F.array_distinct(offered)).alias("value")).join(listed, "value").select(*keys, "value").distinct()
+    """keys, value of listed secrets (value) that a text holds anywhere, trimmed and of at least ``least`` characters."""
+    listed = secrets.select(F.trim("value").alias("value"))
+    return scan(docs, listed, *keys, text=text, edges=False, once=True, least=least).select(*keys, "value").distinct()
 
 
 def deduped(found: DataFrame, *keys: str) -> DataFrame:

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_key
+from .dictionary import scan
 
 
 def message_breakdown(messages: DataFrame, vault: DataFrame) -> DataFrame:
     """category, messages, mentions: in how many of messages (conv_id, turn, text), and how often in all, distinct originals of their own conversation's vault (conv_id, value, category) stand."""
     originals = vault.filter(F.length("value") > 0).select("conv_id", "value", "category").distinct()
-    hits = messages.join(originals, "conv_id").filter(F.contains("text", "value"))
+    # One pass of the messages for all originals of all conversations, then an equality join with each conversation's own.
+    held = scan(messages, originals, "conv_id", "turn", edges=False, once=True).select("conv_id", "turn", "value")
+    hits = held.join(originals, ["conv_id", "value"])
     return hits.groupBy("category").agg(F.countDistinct("conv_id", "turn").alias("messages"), F.count("*").alias("mentions"))
 
 

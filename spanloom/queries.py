@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import checks
 from .functions.text import scrubbed, windows
-from .operators import analytics, detect, evaluate, gates, labels, memory, merge, replay, reports, rewrite, skeleton
+from .operators import analytics, detect, dictionary, evaluate, gates, labels, memory, merge, replay, reports, rewrite, skeleton
 from .operators.rules import PORTABLE, catalogue
 from .sources import files, tabular
 
@@ -603,3 +603,27 @@ def valid_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     value = F.concat(F.lit("4000 0000 0000 0"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" "), (k % 10).cast("string"))
     return _t(spark, sf_dir, "orders").select("o_orderkey", gates.longest_valid(value, checks.card).alias("card"))
+
+
+_TOKENS = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+"
+
+
+def _runs(key: str, table: str) -> str:
+    """SQL of each token of a table's texts: its place, and the runs of two and three words that begin with it."""
+    two = "tok || lead(tok) OVER w || lead(tok, 2) OVER w"
+    return f"""SELECT id, tok, sum(length(tok)) OVER (PARTITION BY id ORDER BY i) - length(tok) AS start, {two} AS two, {two} || lead(tok, 3) OVER w || lead(tok, 4) OVER w AS three
+    FROM (SELECT id, unnest(l) AS tok, unnest(range(len(l))) AS i FROM (SELECT {key} AS id, regexp_extract_all(text, '{_TOKENS}') AS l FROM {table})) WINDOW w AS (PARTITION BY id ORDER BY i)"""
+
+
+@query(
+    f"""WITH b AS ({_runs('item_id', 'benchmark')}), d AS ({_runs('doc_id', 'documents')}), v AS (SELECT unnest([tok, two, three]) AS value FROM b WHERE regexp_matches(tok, '^[\\p{{L}}\\p{{N}}_]')),
+    l AS (SELECT DISTINCT value FROM v WHERE value IS NOT NULL), p AS (SELECT id, start, unnest([tok, two, three]) AS value FROM d)
+    SELECT id AS doc_id, value, count(*) AS n, CAST(min(start) AS BIGINT) AS first FROM p JOIN l USING (value) GROUP BY id, value"""
+)
+def vault_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of one to three words of the benchmark as a vault's values, looked for in all documents."""
+    words = _t(spark, sf_dir, "benchmark").select(F.regexp_extract_all("text", F.lit(_TOKENS), F.lit(0)).alias("l"))
+    at = words.select("l", F.posexplode("l").alias("i", "tok")).filter(F.col("tok").rlike(r"^[\p{L}\p{N}_]"))
+    runs = F.array(*[F.when(F.size("l") >= F.col("i") + n, F.array_join(F.slice("l", F.col("i") + 1, F.lit(n)), "")) for n in (1, 3, 5)])
+    found = dictionary.scan(_texts(spark, sf_dir), at.select(F.explode(runs).alias("value")), "doc_id")
+    return found.groupBy("doc_id", "value").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first"))
