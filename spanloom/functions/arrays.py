@@ -32,6 +32,11 @@ def cut(parts: Column, start: Column, end: Column, size: int = BLOCK) -> Column:
     return F.when(end <= start, "").when(i == j, first).otherwise(F.concat(first, between, last))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value made once however often the body names it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def scanned(items: Column, zero: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str, last: Callable[[Column], Column] | None = None, run: int = RUN) -> Column:
     """An array of what out(state, item) gives for each item, nulls left out, the state before an item being what step made of those before it.
 
@@ -44,14 +49,30 @@ def scanned(items: Column, zero: Column, step: Callable[[Column, Column], Column
         found = out(held["state"], x)
         return F.struct(step(held["state"], x).alias("state"), F.when(found.isNotNull(), F.array_append(held["out"], found)).otherwise(held["out"]).alias("out"))
 
-    def many(held: Column, i: Column) -> Column:
-        inner = F.aggregate(F.slice(items, i * run + 1, run), F.struct(held["state"].alias("state"), none.alias("out")), one)
-        # Bound once, by an array of one element, so that the run isn't gone through for each field.
-        return F.element_at(F.transform(F.array(inner), lambda x: F.struct(x["state"].alias("state"), F.array_append(held["out"], x["out"]).alias("out"))), 1)
+    def many(held: Column, i: Column, listed: Column) -> Column:
+        inner = F.aggregate(F.slice(listed, i * run + 1, run), F.struct(held["state"].alias("state"), none.alias("out")), one)
+        return let(inner, lambda x: F.struct(x["state"].alias("state"), F.array_append(held["out"], x["out"]).alias("out")))
 
     runs = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / run).cast("int"))
     end = (lambda h: F.array_append(h["out"], F.filter(F.array(last(h["state"])), lambda x: x.isNotNull()))) if last else (lambda h: h["out"])
     start = F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
-    long = F.flatten(F.aggregate(F.when(F.size(items) > 0, runs).otherwise(F.array().cast("array<int>")), start, many, end))
+    # An array that a row holds is read as a whole for each slice; one that a lambda has made is not.
+    long = let(F.transform(items, lambda x: x), lambda listed: F.flatten(F.aggregate(F.when(F.size(items) > 0, runs).otherwise(F.array().cast("array<int>")), start, lambda h, i: many(h, i, listed), end)))
     short = F.aggregate(items, begin, one, (lambda h: F.concat(h["out"], F.filter(F.array(last(h["state"])), lambda x: x.isNotNull()))) if last else (lambda h: h["out"]))
     return F.when(F.size(items) <= run, short).otherwise(long)
+
+
+def looked_up(keys: Column, entries: Column) -> Column:
+    """For each of keys (an array of strings) the value of its entry, an array of struct<key, value>; null without one. Of entries of one key the least value counts.
+
+    Both are sorted together and gone through once.
+    """
+    item = "struct<key:string,k:int,i:int,value:string>"
+    listed = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.lit(0).alias("k"), F.lit(0).alias("i"), e["value"].alias("value")).cast(item))
+    asked = F.transform(keys, lambda k, i: F.struct(k.alias("key"), F.lit(1).alias("k"), i.alias("i"), F.lit(None).cast("string").alias("value")).cast(item))
+    zero = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
+    new = lambda s, x: (x["k"] == 0) & ~s["key"].eqNullSafe(x["key"])
+    step = lambda s, x: F.struct(F.when(new(s, x), x["key"]).otherwise(s["key"]).alias("key"), F.when(new(s, x), x["value"]).otherwise(s["value"]).alias("value"))
+    out = lambda s, x: F.when(x["k"] == 1, F.struct(x["i"].alias("i"), F.when(s["key"] == x["key"], s["value"]).alias("value")))
+    found = let(F.array_sort(F.concat(listed, asked)), lambda items: scanned(items, zero, step, out, "struct<i:int,value:string>"))
+    return F.transform(F.array_sort(found), lambda x: x["value"])

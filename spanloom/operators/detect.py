@@ -17,6 +17,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, scanned
 from ..functions.checks import CHECKS
 from .dictionary import scan
 from .rules import Rule
@@ -50,14 +51,16 @@ def _pieces(text: Column, rule: Rule, rank: int) -> Column:
 
 def _placed(found: Column) -> Column:
     """Every second part with its place."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"))
 
     def step(state: Column, part: Column) -> Column:
-        end = state["at"] + F.length(part)
-        span = F.struct(state["at"].alias("start"), end.alias("end"), part.alias("value"), found["rank"].alias("rank"))
-        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), F.when(state["inside"] & (part != ""), F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+        return F.struct((state["at"] + F.length(part)).alias("at"), (~state["inside"]).alias("inside"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:int,end:int,value:string,rank:int>>").alias("out"))
-    return F.aggregate(found["parts"], start, step, lambda s: s["out"])
+    def out(state: Column, part: Column) -> Column:
+        span = F.struct(state["at"].alias("start"), (state["at"] + F.length(part)).alias("end"), part.alias("value"), found["rank"].alias("rank"))
+        return F.when(state["inside"] & (part != ""), span)
+
+    return scanned(found["parts"], zero, step, out, "struct<start:int,end:int,value:string,rank:int>")
 
 
 def _names(values: Sequence[str | None]) -> Column:
@@ -89,15 +92,27 @@ def with_spans(docs: DataFrame, rules: Sequence[Rule], text: str = "text", into:
 
 
 def claimed(spans: Column) -> Column:
-    """The spans that keep their characters: in the order of rules and places, those that overlap none before them."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s.alias("span"))))
+    """The spans that keep their characters, by rule and place: in the order of rules and places, those that overlap none before them.
+
+    Only spans of one stretch, which overlaps no other, are held against each other.
+    """
+    kind = f"array<struct<rank:int,start:int,span:{SPAN}>>"
+
+    def free(held: Column, s: Column) -> Column:
+        return F.when(F.exists(held, lambda x: (x["span"]["start"] < s["span"]["end"]) & (s["span"]["start"] < x["span"]["end"])), held).otherwise(F.array_append(held, s))
+
+    def judged(stretch: Column) -> Column:
+        return F.when(F.size(stretch) < 2, stretch).otherwise(F.aggregate(F.array_sort(stretch), F.array().cast(kind), free))
 
-    def step(held: Column, s: Column) -> Column:
-        span = s["span"]
-        free = ~F.exists(held, lambda x: (x["start"] < span["end"]) & (span["start"] < x["end"]))
-        return F.when(free, F.array_append(held, span)).otherwise(held)
+    def step(state: Column, s: Column) -> Column:
+        apart = s["start"] >= state["reach"]
+        one = F.struct(s["span"]["rank"].alias("rank"), s["start"].alias("start"), s["span"].alias("span"))
+        return F.struct(F.greatest(state["reach"], s["span"]["end"]).alias("reach"), F.when(apart, F.array(one)).otherwise(F.array_append(state["stretch"], one)).cast(kind).alias("stretch"))
 
-    return F.aggregate(ordered, F.array().cast(f"array<{SPAN}>"), step)
+    zero = F.struct(F.lit(0).alias("reach"), F.array().cast(kind).alias("stretch"))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s.alias("span"))))
+    ended = let(ordered, lambda x: scanned(x, zero, step, lambda state, s: F.when(s["start"] >= state["reach"], judged(state["stretch"])), kind, lambda state: judged(state["stretch"])))
+    return F.transform(F.array_sort(F.flatten(ended)), lambda x: x["span"])
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -11,11 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import blocks, cut, let, looked_up
 from .detect import SPAN, claimed, with_spans
 from .fakes import with_fakes
 from .rules import Rule
 
 ENTRY = "struct<placeholder:string,value:string,category:string>"
+#: Between the parts of a key; no value holds it.
+SEPARATOR = "\x01"
 #: Labels that differ from the upper-cased type.
 LABELS = {"api_token": "TOKEN", "bearer": "BEARER_TOKEN", "hash_token": "TOKEN", "hex40": "TOKEN", "phone_us": "PHONE", "ipv4": "IP", "card_number": "CARD"}
 #: Token words that differ from the upper-cased category.
@@ -44,30 +47,40 @@ def _highest(text: Column, pattern: str) -> Column:
 
 def vault_of(spans: Column, taken: Column, style: str) -> Column:
     """Entries in the order of spans: a number of its own for each value of a label (style: marker or token)."""
-    key = (lambda s: label(s["type"])) if style == "marker" else (lambda s: word(s["category"]))
-    values = F.array_distinct(F.transform(spans, lambda s: F.struct(key(s).alias("label"), s["value"].alias("value"))))
-    first = F.transform(values, lambda v: F.struct(v["label"].alias("label"), v["value"].alias("value"), F.filter(spans, lambda s: (s["value"] == v["value"]) & (key(s) == v["label"]))[0]["category"].alias("category")))
+    name = (lambda s: label(s["type"])) if style == "marker" else (lambda s: word(s["category"]))
+    # Detection leaves no control characters in a value.
+    known = F.array_distinct(F.transform(spans, lambda s: F.concat_ws(SEPARATOR, name(s), s["category"], s["value"])))
 
-    def numbered(v: Column, i: Column) -> Column:
-        n = F.size(F.filter(F.slice(first, F.lit(1), i + 1), lambda x: x["label"] == v["label"])) + taken
-        text = F.concat(F.lit("[REDACTED_"), v["label"], F.lit("_"), n.cast("string"), F.lit("]")) if style == "marker" else F.concat(F.lit("["), v["label"], n.cast("string"), F.lit("]"))
-        return F.struct(text.alias("placeholder"), v["value"].alias("value"), v["category"].alias("category"))
+    def entries(keys: Column, taken: Column) -> Column:
+        """Each label's in turn, with their places among all."""
+        placed = F.transform(keys, lambda k, i: F.struct(i.alias("i"), k.alias("key"), F.substring_index(k, SEPARATOR, 1).alias("label")))
+        labels = F.array_distinct(F.transform(keys, lambda k: F.substring_index(k, SEPARATOR, 1)))
+        own = let(placed, lambda p: F.transform(labels, lambda x: F.filter(p, lambda e: e["label"] == x)))
+        return F.array_sort(F.flatten(F.transform(own, lambda es: F.transform(es, lambda e, j: F.struct(e["i"].alias("i"), e["key"].alias("key"), e["label"].alias("label"), (j + 1 + taken).alias("n"))))))
 
-    return F.transform(first, numbered)
+    def entry(e: Column) -> Column:
+        number = e["n"].cast("string")
+        text = F.concat(F.lit("[REDACTED_"), e["label"], F.lit("_"), number, F.lit("]")) if style == "marker" else F.concat(F.lit("["), e["label"], number, F.lit("]"))
+        category = F.substring_index(F.substring_index(e["key"], SEPARATOR, 2), SEPARATOR, -1)
+        return F.struct(text.alias("placeholder"), F.substring_index(e["key"], SEPARATOR, -1).alias("value"), category.alias("category"))
+
+    return F.transform(let(known, lambda keys: let(taken, lambda n: entries(keys, n))), entry)
 
 
 def splice(text: Column, spans: Column, vault: Column, style: str) -> Column:
-    """The text with each span's characters replaced by its placeholder."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), label(s["type"]).alias("label"), s["category"].alias("category"))))
+    """The text with each span's characters replaced by its placeholder. Spans don't overlap."""
+    of_span = (lambda s: label(s["type"])) if style == "marker" else (lambda s: s["category"])
+    of_entry = (lambda e: F.regexp_extract(e["placeholder"], r"^\[REDACTED_(.*)_[0-9]+\]$", 1)) if style == "marker" else (lambda e: e["category"])
+    entries = F.transform(vault, lambda e: F.struct(F.concat_ws(SEPARATOR, of_entry(e), e["value"]).alias("key"), e["placeholder"].alias("value")))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat_ws(SEPARATOR, of_span(s), s["value"]).alias("key"))))
 
-    def step(state: Column, s: Column) -> Column:
-        own = (lambda e: e["placeholder"].startswith(F.concat(F.lit("[REDACTED_"), s["label"]))) if style == "marker" else (lambda e: e["category"] == s["category"])
-        entry = F.filter(vault, lambda e: (e["value"] == s["value"]) & own(e))[0]
-        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), entry["placeholder"])
-        return F.struct(s["end"].alias("at"), F.concat(state["out"], piece).alias("out"))
+    def joined(parts: Column, marks: Column, names: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(marks, i - 1)["end"])
+        pieces = F.transform(marks, lambda m, i: F.concat(cut(parts, before(i), m["start"]), F.get(names, i)))
+        return F.concat(F.array_join(pieces, ""), cut(parts, F.coalesce(F.element_at(marks, -1)["end"], F.lit(0)), F.length(text)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(ordered, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"])))
+    spliced = let(ordered, lambda marks: let(looked_up(F.transform(marks, lambda m: m["key"]), entries), lambda names: let(blocks(text), lambda parts: joined(parts, marks, names))))
+    return F.when(F.size(spans) == 0, text).otherwise(spliced)
 
 
 def redact(docs: DataFrame, rules: Sequence[Rule], style: str = "marker", text: str = "text", disabled: Sequence[str] = (), keep: Sequence[str] = (), key: str | None = None) -> DataFrame:
@@ -90,28 +103,45 @@ def redact(docs: DataFrame, rules: Sequence[Rule], style: str = "marker", text:
     return out.withColumn("redacted", splice(body, F.col("spans"), F.col("vault"), style)).drop("_taken")
 
 
+#: The placeholders that redact() makes, but for substitutes.
+BRACKETED = r"\[[A-Za-z_]+[0-9]+[a-z]?\]"
+
+
 def restore(text: Column, vault: Column, disabled: Sequence[str] = ()) -> Column:
-    """The text with every placeholder of the vault replaced by its value, longest placeholder first; categories in disabled stay."""
-    entries = F.filter(vault, lambda e: ~F.coalesce(e["category"].isin(*disabled), F.lit(False))) if disabled else vault
-    ordered = F.array_sort(F.transform(entries, lambda e: F.struct((-F.length(e["placeholder"])).alias("n"), e["placeholder"].alias("placeholder"), e["value"].alias("value"))))
-    return F.aggregate(ordered, text, lambda t, e: F.replace(t, e["placeholder"], e["value"]))
+    """The text with every placeholder of the vault replaced by its value, in one pass: what was restored isn't read again. Categories in disabled stay.
+
+    Where placeholders overlap the longest one counts. A null or empty vault gives the text unchanged. If all placeholders are
+    in brackets they are looked up all at once; others are tried one after the other at each place.
+    """
+    listed = F.filter(vault, lambda e: (e["placeholder"] != "") & e["value"].isNotNull())
+    entries = F.filter(listed, lambda e: ~F.coalesce(e["category"].isin(*disabled), F.lit(False))) if disabled else listed
+    keyed = F.transform(entries, lambda e: F.struct(e["placeholder"].alias("key"), e["value"].alias("value")))
+    longest = F.array_sort(F.transform(entries, lambda e: F.struct((-F.length(e["placeholder"])).alias("n"), e["placeholder"].alias("placeholder"))))
+    escaped = F.array_join(F.transform(longest, lambda e: F.regexp_replace(e["placeholder"], r"([\\^$.|?*+()\[\]{}&#~-])", r"\\$1")), "|")
+    bracketed = F.forall(entries, lambda e: e["placeholder"].rlike(f"^{BRACKETED}$"))
+    pattern = F.when(bracketed, F.lit(BRACKETED)).otherwise(escaped)
+
+    def one_pass(p: Column) -> Column:
+        def joined(marks: Column, values: Column) -> Column:
+            parts = F.split(text, p, -1)
+            return F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.get(values, i), F.get(marks, i), F.lit("")))), "")
+
+        return let(F.regexp_extract_all(text, p, F.lit(0)), lambda marks: let(looked_up(marks, keyed), lambda values: joined(marks, values)))
+
+    return F.when(text.isNull() | (F.coalesce(F.size(entries), F.lit(0)) <= 0), text).otherwise(let(pattern, one_pass))
 
 
 def segments(text: Column, spans: Column) -> Column:
     """array<struct<kind, value>>: the text's parts and values, in order."""
-    ordered = F.array_sort(spans)
-    kind = "array<struct<kind:string,value:string>>"
-
-    def step(state: Column, s: Column) -> Column:
-        before = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        out = F.when(before != "", F.array_append(state["out"], F.struct(F.lit("text").alias("kind"), before.alias("value")))).otherwise(state["out"])
-        return F.struct(s["end"].alias("at"), F.array_append(out, F.struct(F.lit("redaction").alias("kind"), s["value"].alias("value"))).alias("out"))
 
-    def last(state: Column) -> Column:
-        rest = F.substring(text, state["at"] + 1, F.length(text))
-        return F.when(rest != "", F.array_append(state["out"], F.struct(F.lit("text").alias("kind"), rest.alias("value")))).otherwise(state["out"])
+    def parted(parts: Column, marks: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(marks, i - 1)["end"])
+        part = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+        both = F.flatten(F.transform(marks, lambda m, i: F.array(part("text", cut(parts, before(i), m["start"])), part("redaction", m["value"]))))
+        rest = part("text", cut(parts, F.coalesce(F.element_at(marks, -1)["end"], F.lit(0)), F.length(text)))
+        return F.filter(F.array_append(both, rest), lambda x: (x["kind"] != "text") | (x["value"] != ""))
 
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, last)
+    return F.when(text.isNotNull(), let(F.array_sort(spans), lambda marks: let(blocks(text), lambda parts: parted(parts, marks))))
 
 
 __all__ = ["ENTRY", "SPAN", "label", "redact", "restore", "segments", "splice", "vault_of", "word"]
