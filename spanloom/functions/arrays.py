@@ -43,23 +43,20 @@ def scanned(items: Column, zero: Column, step: Callable[[Column, Column], Column
     zero is a struct of all the state's fields with their types; kind is the type of what out gives; last(state) is one more at the end.
     """
     none = F.array().cast(f"array<{kind}>")
-    begin = F.struct(zero.alias("state"), none.alias("out"))
+    there = lambda x: F.filter(F.array(x), lambda y: y.isNotNull())
 
     def one(held: Column, x: Column) -> Column:
-        found = out(held["state"], x)
-        return F.struct(step(held["state"], x).alias("state"), F.when(found.isNotNull(), F.array_append(held["out"], found)).otherwise(held["out"]).alias("out"))
+        return F.struct(step(held["state"], x).alias("state"), F.concat(held["out"], there(out(held["state"], x))).alias("out"))
 
     def many(held: Column, i: Column, listed: Column) -> Column:
         inner = F.aggregate(F.slice(listed, i * run + 1, run), F.struct(held["state"].alias("state"), none.alias("out")), one)
         return let(inner, lambda x: F.struct(x["state"].alias("state"), F.array_append(held["out"], x["out"]).alias("out")))
 
-    runs = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / run).cast("int"))
-    end = (lambda h: F.array_append(h["out"], F.filter(F.array(last(h["state"])), lambda x: x.isNotNull()))) if last else (lambda h: h["out"])
+    runs = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / run).cast("int"))).otherwise(F.array().cast("array<int>"))
+    end = (lambda h: F.array_append(h["out"], there(last(h["state"])))) if last else (lambda h: h["out"])
     start = F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
     # An array that a row holds is read as a whole for each slice; one that a lambda has made is not.
-    long = let(F.transform(items, lambda x: x), lambda listed: F.flatten(F.aggregate(F.when(F.size(items) > 0, runs).otherwise(F.array().cast("array<int>")), start, lambda h, i: many(h, i, listed), end)))
-    short = F.aggregate(items, begin, one, (lambda h: F.concat(h["out"], F.filter(F.array(last(h["state"])), lambda x: x.isNotNull()))) if last else (lambda h: h["out"]))
-    return F.when(F.size(items) <= run, short).otherwise(long)
+    return let(F.transform(items, lambda x: x), lambda listed: F.flatten(F.aggregate(runs, start, lambda h, i: many(h, i, listed), end)))
 
 
 def looked_up(keys: Column, entries: Column) -> Column:
