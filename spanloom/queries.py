@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import checks
 from .functions.text import scrubbed, windows
-from .operators import analytics, detect, dictionary, evaluate, gates, labels, memory, merge, replay, reports, rewrite, skeleton
+from .operators import analytics, detect, dictionary, evaluate, gates, labels, memory, merge, replay, reports, restoring, rewrite, skeleton
 from .operators.rules import PORTABLE, catalogue
 from .sources import files, tabular
 
@@ -627,3 +627,13 @@ def vault_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = F.array(*[F.when(F.size("l") >= F.col("i") + n, F.array_join(F.slice("l", F.col("i") + 1, F.lit(n)), "")) for n in (1, 3, 5)])
     found = dictionary.scan(_texts(spark, sf_dir), at.select(F.explode(runs).alias("value")), "doc_id")
     return found.groupBy("doc_id", "value").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def restored_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in tokens, which are then written otherwise: in lower case, without brackets, with escaped ones, or as they are; restored all the same."""
+    out = rewrite.redact(_texts(spark, sf_dir), APART, style="token").select("doc_id", "vault", "redacted")
+    marker, way = r"\[([A-Z]+[0-9]+)\]", F.col("doc_id") % 4
+    lower = F.array_join(F.transform(F.split("redacted", r"(?=\[[A-Z]+[0-9]+\])", -1), lambda x: F.when(x.rlike(rf"^{marker}"), F.concat(F.lower(F.regexp_extract(x, f"^{marker}", 0)), F.regexp_replace(x, f"^{marker}", ""))).otherwise(x)), "")
+    written = F.when(way == 0, F.regexp_replace("redacted", marker, "$1")).when(way == 1, F.regexp_replace("redacted", marker, r"\\[$1\\]")).when(way == 2, lower).otherwise(F.col("redacted"))
+    return out.select("doc_id", F.md5(restoring.restored(written, F.col("vault"), reply=True)).alias("digest"))
