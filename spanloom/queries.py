@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import checks
 from .functions.text import scrubbed, windows
-from .operators import analytics, detect, dictionary, evaluate, gates, labels, memory, merge, replay, reports, restoring, rewrite, skeleton
+from .operators import analytics, detect, dictionary, evaluate, gates, labels, memory, merge, replay, reports, restoring, rewrite, scope, skeleton
 from .operators.rules import PORTABLE, catalogue
 from .sources import files, tabular
 
@@ -637,3 +637,15 @@ def restored_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     lower = F.array_join(F.transform(F.split("redacted", r"(?=\[[A-Z]+[0-9]+\])", -1), lambda x: F.when(x.rlike(rf"^{marker}"), F.concat(F.lower(F.regexp_extract(x, f"^{marker}", 0)), F.regexp_replace(x, f"^{marker}", ""))).otherwise(x)), "")
     written = F.when(way == 0, F.regexp_replace("redacted", marker, "$1")).when(way == 1, F.regexp_replace("redacted", marker, r"\\[$1\\]")).when(way == 2, lower).otherwise(F.col("redacted"))
     return out.select("doc_id", F.md5(restoring.restored(written, F.col("vault"), reply=True)).alias("digest"))
+
+
+@query(
+    f"""WITH s AS ({_spans('documents', 'text', 'doc_id, source, text', APART)}), v AS (SELECT source, category, value, min(doc_id % 2) AS batch FROM s GROUP BY 1, 2, 3),
+    f AS (SELECT v.source, v.category, v.value, batch, min([doc_id, instr(text, s.value)]) AS first FROM v JOIN s ON s.source IS NOT DISTINCT FROM v.source AND s.category = v.category AND s.value = v.value WHERE doc_id % 2 = batch GROUP BY 1, 2, 3, 4)
+    SELECT source, '[' || upper(category) || row_number() OVER (PARTITION BY source, category ORDER BY batch, first) || ']' AS token, value, category FROM f"""
+)
+def scope_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a source as one scope: the even ids first, then all, which keeps the tokens that were given."""
+    found = detect.spans(_texts(spark, sf_dir), APART, "doc_id", "source").select("doc_id", F.col("source").alias("scope"), "value", "category", F.struct("doc_id", "start").alias("first"))
+    half = scope.allocate(found.filter("doc_id % 2 = 0"))
+    return scope.allocate(found, half).withColumnRenamed("scope", "source")
