@@ -77,7 +77,7 @@ def splice(text: Column, spans: Column, vault: Column, style: str) -> Column:
     def joined(parts: Column, marks: Column, names: Column) -> Column:
         before = lambda i: F.when(i == 0, 0).otherwise(F.get(marks, i - 1)["end"])
         pieces = F.transform(marks, lambda m, i: F.concat(cut(parts, before(i), m["start"]), F.get(names, i)))
-        return F.concat(F.array_join(pieces, ""), cut(parts, F.coalesce(F.element_at(marks, -1)["end"], F.lit(0)), F.length(text)))
+        return F.concat(F.array_join(pieces, ""), cut(parts, F.coalesce(F.get(marks, F.size(marks) - 1)["end"], F.lit(0)), F.length(text)))
 
     spliced = let(ordered, lambda marks: let(looked_up(F.transform(marks, lambda m: m["key"]), entries), lambda names: let(blocks(text), lambda parts: joined(parts, marks, names))))
     return F.when(F.size(spans) == 0, text).otherwise(spliced)
@@ -138,7 +138,7 @@ def segments(text: Column, spans: Column) -> Column:
         before = lambda i: F.when(i == 0, 0).otherwise(F.get(marks, i - 1)["end"])
         part = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
         both = F.flatten(F.transform(marks, lambda m, i: F.array(part("text", cut(parts, before(i), m["start"])), part("redaction", m["value"]))))
-        rest = part("text", cut(parts, F.coalesce(F.element_at(marks, -1)["end"], F.lit(0)), F.length(text)))
+        rest = part("text", cut(parts, F.coalesce(F.get(marks, F.size(marks) - 1)["end"], F.lit(0)), F.length(text)))
         return F.filter(F.array_append(both, rest), lambda x: (x["kind"] != "text") | (x["value"] != ""))
 
     return F.when(text.isNotNull(), let(F.array_sort(spans), lambda marks: let(blocks(text), lambda parts: parted(parts, marks))))

@@ -43,14 +43,17 @@ def _luhn(v: str) -> str:
     return f"(list_sum(list_transform(range(length({d})), lambda i: CASE WHEN i % 2 = 1 THEN 2 * {x} - CASE WHEN 2 * {x} > 9 THEN 9 ELSE 0 END ELSE {x} END)) % 10 = 0)"
 
 
+#: SQL of what a rule's value must pass.
+_CHECKED = {
+    "card": f"AND length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND NOT regexp_matches(value, '^[0 -]+$') AND {_luhn('value')}",
+    "ipv4": "AND list_bool_and(list_transform(string_split(value, '.'), lambda x: TRY_CAST(x AS INTEGER) <= 255))",
+}
+
+
 def _spans(table: str, text: str, keys: str, rules=PORTABLE) -> str:
     """SQL of all spans: keys, type, category, rank, value."""
-    checked = {
-        "card": f"AND length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND NOT regexp_matches(value, '^[0 -]+$') AND {_luhn('value')}",
-        "ipv4": "AND list_bool_and(list_transform(string_split(value, '.'), lambda x: CAST(x AS INTEGER) <= 255))",
-    }
     parts = [
-        f"SELECT {keys}, '{r.type}' AS type, '{r.category}' AS category, {i} AS rank, value FROM (SELECT {keys}, unnest(regexp_extract_all({text}, '{r.pattern}')) AS value FROM {table}) WHERE value <> '' {checked.get(r.check, '')}"
+        f"SELECT {keys}, '{r.type}' AS type, '{r.category}' AS category, {i} AS rank, value FROM (SELECT {keys}, unnest(regexp_extract_all({text}, '{r.pattern}')) AS value FROM {table}) WHERE value <> '' {_CHECKED.get(r.check, '')}"
         for i, r in enumerate(rules)
     ]
     return " UNION ALL ".join(parts)
@@ -126,13 +129,35 @@ def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.spans(_texts(spark, sf_dir), catalogue(), "doc_id").groupBy("type", "category").agg(F.count("*").alias("spans"))
 
 
-@query()
+def _claims() -> str:
+    """SQL of the documents' spans that keep their characters, p: doc_id, text, rank, label, value, start, stop; and m: with their placeholders."""
+    def found(i: int) -> str:
+        r = PORTABLE[i]
+        label = rewrite.LABELS.get(r.type, r.type.upper())
+        split = f"string_split(regexp_replace(text, '({r.pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+        return f"""SELECT doc_id, text, {i} AS rank, '{label}' AS label, value, start, start + length(value) AS stop FROM (SELECT *, sum(length(value)) OVER (PARTITION BY doc_id ORDER BY k) - length(value) AS start
+        FROM (SELECT doc_id, text, unnest(l) AS value, unnest(range(len(l))) AS k FROM (SELECT doc_id, text, {split} AS l FROM documents))) WHERE k % 2 = 1 AND value <> '' {_CHECKED.get(r.check, '')}"""
+
+    free = "NOT EXISTS (SELECT 1 FROM p{0} q WHERE q.doc_id = x.doc_id AND q.start < x.stop AND x.start < q.stop)"
+    steps = [f"p0 AS ({found(0)})", *[f"p{i} AS (SELECT * FROM p{i - 1} UNION ALL SELECT * FROM ({found(i)}) x WHERE {free.format(i - 1)})" for i in range(1, len(PORTABLE))]]
+    return ", ".join(steps) + f"""
+    , p AS (SELECT * FROM p{len(PORTABLE) - 1}), e AS (SELECT doc_id, label, value, row_number() OVER (PARTITION BY doc_id, label ORDER BY min([rank, start])) AS n FROM p GROUP BY 1, 2, 3),
+    m AS (SELECT p.*, '[REDACTED_' || p.label || '_' || n || ']' AS placeholder, coalesce(lag(stop) OVER w, 0) AS before, lead(start) OVER w IS NULL AS last FROM p JOIN e USING (doc_id, label, value) WINDOW w AS (PARTITION BY p.doc_id ORDER BY start))"""
+
+
+_PARTS = """SELECT doc_id, start, 0 AS k, 'text' AS kind, substr(text, CAST(before + 1 AS BIGINT), CAST(start - before AS BIGINT)) AS value, placeholder FROM m UNION ALL SELECT doc_id, start, 1, 'redaction', value, placeholder FROM m
+    UNION ALL SELECT doc_id, stop, 2, 'text', substr(text, CAST(stop + 1 AS BIGINT)), NULL FROM m WHERE last UNION ALL SELECT doc_id, 0, 0, 'text', text, NULL FROM documents d WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = d.doc_id)"""
+
+
+@query(
+    f"""WITH {_claims()}, t AS ({_PARTS}) SELECT doc_id, string_agg(CASE kind WHEN 'text' THEN value ELSE placeholder END, '' ORDER BY start, k) AS redacted, count(DISTINCT placeholder) FILTER (kind = 'redaction') AS entries FROM t GROUP BY doc_id"""
+)
 def redacted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rewrite.redact(_texts(spark, sf_dir), PORTABLE)
     return out.select("doc_id", "redacted", F.size("vault").alias("entries"))
 
 
-@query()
+@query(f"WITH {_claims()}, t AS ({_PARTS}) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, k) - 1 AS nth, kind, value FROM t WHERE kind = 'redaction' OR value <> ''")
 def redaction_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rewrite.redact(_texts(spark, sf_dir), PORTABLE)
     return out.select("doc_id", F.posexplode_outer(rewrite.segments(F.col("text"), F.col("spans"))).alias("nth", "segment")).filter("segment is not null").select("doc_id", "nth", "segment.*")

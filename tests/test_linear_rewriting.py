@@ -56,3 +56,10 @@ def test_restored_values_are_not_read_again(spark):
     assert back("Anna Berg, Anna, Berta: +1 (2)", fakes) == "Dora (x) $1 \\ |, Berta, Clara: phone"
     assert back("[A1]", None) == back("[A1]", []) == "[A1]" and back(None, chain) is None
     assert back("[A12][A1]x[C1]", chain) == "[A12]see [B1] therex[C1]"
+
+
+def test_texts_without_spans(spark):
+    df = spark.createDataFrame([(1, "plain"), (2, ""), (3, None), (4, "a@b.org"), (5, "x a@b.org")], "doc_id long, text string")
+    out = rewrite.redact(df, PORTABLE).withColumn("parts", rewrite.segments(F.col("text"), F.col("spans"))).orderBy("doc_id").collect()
+    assert [r.redacted for r in out] == ["plain", "", "", "[REDACTED_EMAIL_1]", "x [REDACTED_EMAIL_1]"]
+    assert [r.parts and [tuple(p) for p in r.parts] for r in out] == [[("text", "plain")], [], None, [("redaction", "a@b.org")], [("text", "x "), ("redaction", "a@b.org")]]
