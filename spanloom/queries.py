@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import checks
 from .functions.text import scrubbed, windows
-from .operators import analytics, detect, dictionary, evaluate, gates, labels, memory, merge, replay, reports, restoring, rewrite, scope, skeleton
+from .operators import addresses, analytics, detect, dictionary, evaluate, gates, labels, memory, merge, replay, reports, restoring, rewrite, scope, skeleton
 from .operators.rules import PORTABLE, catalogue
 from .sources import files, tabular
 
@@ -674,3 +674,18 @@ def scope_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.spans(_texts(spark, sf_dir), APART, "doc_id", "source").select("doc_id", F.col("source").alias("scope"), "value", "category", F.struct("doc_id", "start").alias("first"))
     half = scope.allocate(found.filter("doc_id % 2 = 0"))
     return scope.allocate(found, half).withColumnRenamed("scope", "source")
+
+
+_KEPT = ", ".join(f"'{x}'" for x in addresses.kept_prefixes(4))
+
+
+@query(
+    f"""WITH v AS (SELECT DISTINCT value FROM ({_spans('documents', 'text', 'doc_id')}) WHERE type = 'ipv4'),
+    b AS (SELECT value, array_to_string(list_transform(string_split(value, '.'), lambda x: lpad(bin(CAST(x AS INTEGER)), 8, '0')), '') AS b FROM v),
+    n AS (SELECT value, list_transform(range(32), lambda i: CASE WHEN left(b, CAST(i AS INTEGER)) NOT IN ({_KEPT}) AND md5('benchmark key/' || left(b, CAST(i AS INTEGER)))[1] IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN 1 - CAST(b[i + 1] AS INTEGER) ELSE CAST(b[i + 1] AS INTEGER) END) AS l FROM b)
+    SELECT value, array_to_string(list_transform(range(4), lambda j: list_sum(list_transform(range(8), lambda i: l[8 * j + i + 1] * CAST(2 ** (7 - i) AS INTEGER)))), '.') AS substitute FROM n"""
+)
+def ip_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substitutes of the documents' addresses that keep networks together."""
+    found = _doc_spans(spark, sf_dir, "doc_id").filter("type = 'ipv4'").select("value").distinct()
+    return found.select("value", addresses.mapped(F.col("value"), "benchmark key").alias("substitute"))
