@@ -281,9 +281,9 @@ def sin(v: Column) -> Column:
     return (F.length(d) == 9) & luhn(d) & ~d.rlike("^[08]")
 
 
-def aadhaar(v: Column) -> Column:
-    """Twelve digits that begin with 2 to 9, by Verhoeff's scheme: the dihedral group of ten elements from its rule."""
-    d = F.reverse(digits(v))
+def _verhoeff(d: Column, n: int) -> Column:
+    """Whether n digits, the last of them the check digit, close Verhoeff's scheme: the dihedral group of ten elements from its rule."""
+    back = F.reverse(d)
     times = [[((a + b) % 5 if b < 5 else (a + b) % 5 + 5) if a < 5 else ((a - b) % 5 + 5 if b < 5 else (a - b) % 5) for b in range(10)] for a in range(10)]
     once = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
     rounds = [list(range(10))]
@@ -291,9 +291,15 @@ def aadhaar(v: Column) -> Column:
         rounds.append([once[x] for x in rounds[-1]])
     flat, turned = (F.array(*[F.lit(x) for row in t for x in row]) for t in (times, rounds))
     state = F.lit(0)
-    for i in range(12):
-        state = F.element_at(flat, state * 10 + F.element_at(turned, _at(d, i) + 10 * (i % 8) + 1) + 1)
-    return digits(v).rlike("^[2-9][0-9]{11}$") & (state == 0)
+    for i in range(n):
+        state = F.element_at(flat, state * 10 + F.element_at(turned, _at(back, i) + 10 * (i % 8) + 1) + 1)
+    return state == 0
+
+
+def aadhaar(v: Column) -> Column:
+    """Twelve digits that begin with 2 to 9, by Verhoeff's scheme."""
+    d = digits(v)
+    return d.rlike("^[2-9][0-9]{11}$") & _verhoeff(d, 12)
 
 
 def imei(v: Column) -> Column:
@@ -413,9 +419,9 @@ def gr_amka(v: Column) -> Column:
 
 
 def lu_matricule(v: Column) -> Column:
-    """The twelfth digit closes a Luhn sum over the eleven before it."""
+    """The twelfth digit closes a Luhn sum over the eleven before it, the thirteenth Verhoeff's scheme over the same eleven."""
     d = digits(v)
-    return d.rlike("^(?:18|19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{5}$") & luhn(F.substring(d, 1, 12))
+    return d.rlike("^(?:18|19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{5}$") & luhn(F.substring(d, 1, 12)) & _verhoeff(F.concat(F.substring(d, 1, 11), F.substring(d, 13, 1)), 12)
 
 
 def ie_pps(v: Column) -> Column:

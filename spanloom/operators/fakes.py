@@ -2,7 +2,8 @@
 
 A substitute's digits and letters come from a keyed hash of the category and the value, by their place; none is
 computed from the value's own digits, so the value can't be worked out from it. Separators and case stay. Cards keep
-their first digit and get a Luhn digit, IBANs keep their country and get check digits, addresses keep their class.
+their first digit and get a Luhn digit, IBANs keep their country and get check digits, addresses keep their class, and
+numbers of persons, companies and accounts get what closes the check of their scheme.
 """
 
 from __future__ import annotations
@@ -10,55 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.checks import mod_of
-
-_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def seed(key: str, tag: Column | str, value: Column) -> Column:
-    """128 hex digits that nobody without the key can predict: a hash within a hash, keyed twice."""
-    t = F.lit(tag) if isinstance(tag, str) else tag
-    inner = F.sha2(F.concat_ws("\x1f", F.lit(key), t, value), 256)
-    return F.concat(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("1"), inner), 256), F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("2"), inner), 256))
-
-
-def _draw(s: Column, i: Column, n: int) -> Column:
-    """A number below n for a place, from three of the seed's hex digits."""
-    return F.conv(F.substring(s, F.pmod(i * 3, F.lit(125)) + 1, F.lit(3)), 16, 10).cast("int") % n
-
-
-def _chars(v: Column) -> Column:
-    return F.filter(F.split(v, ""), lambda x: x != "")
-
-
-def shaped(v: Column, s: Column, letters: bool = True) -> Column:
-    """Every digit, and every letter if wanted, by one from the seed; a leading digit that isn't 0 stays so."""
-
-    def one(c: Column, i: Column) -> Column:
-        digit = F.when((i == 0) & (c != "0"), _draw(s, i, 9) + 1).otherwise(_draw(s, i, 10)).cast("string")
-        out = F.when(c.rlike("[0-9]"), digit)
-        if letters:
-            out = out.when(c.rlike("[a-z]"), F.substring(F.lit(_LOWER), _draw(s, i, 26) + 1, F.lit(1))).when(c.rlike("[A-Z]"), F.substring(F.lit(_UPPER), _draw(s, i, 26) + 1, F.lit(1)))
-        return out.otherwise(c)
-
-    return F.array_join(F.transform(_chars(v), one), "")
-
-
-def _relaid(v: Column, plain: Column) -> Column:
-    """The characters of plain in the places of v's letters and digits; separators stay."""
-    zero = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-
-    def step(t: Column, c: Column) -> Column:
-        solid = c.rlike("[0-9A-Za-z]")
-        return F.struct(F.when(solid, t["at"] + 1).otherwise(t["at"]).alias("at"), F.concat(t["out"], F.when(solid, F.substring(plain, t["at"], F.lit(1))).otherwise(c)).alias("out"))
-
-    return F.aggregate(_chars(v), zero, step, lambda t: t["out"])
-
+from ..functions.drawing import chars, draw, relaid, seed, shaped
+from . import checksummed
 
 def luhn_digit(body: Column) -> Column:
     """The digit that makes a string of digits pass Luhn's test."""
     total = F.aggregate(
-        F.transform(F.reverse(_chars(body)), lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int"))),
+        F.transform(F.reverse(chars(body)), lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int"))),
         F.lit(0),
         lambda a, x: a + x,
     )
@@ -68,25 +29,25 @@ def luhn_digit(body: Column) -> Column:
 def card(v: Column, s: Column) -> Column:
     d = F.regexp_replace(v, "[^0-9]", "")
     body = F.concat(F.substring(d, 1, 1), F.substring(shaped(d, s, False), F.lit(2), F.length(d) - 2))
-    return _relaid(v, F.concat(body, luhn_digit(body)))
+    return relaid(v, F.concat(body, luhn_digit(body)))
 
 
 def iban(v: Column, s: Column) -> Column:
     x = F.upper(F.regexp_replace(v, "[^0-9A-Za-z]", ""))
     body = F.substring(shaped(x, s), F.lit(5), F.length(x) - 4)
     country = F.substring(x, 1, 2)
-    digits = F.array_join(F.transform(_chars(F.concat(body, country, F.lit("00"))), lambda c: F.when(c.rlike("[0-9]"), c).otherwise((F.ascii(c) - 55).cast("string"))), "")
-    return _relaid(v, F.concat(country, F.lpad((98 - mod_of(digits, 97)).cast("string"), 2, "0"), body))
+    digits = F.array_join(F.transform(chars(F.concat(body, country, F.lit("00"))), lambda c: F.when(c.rlike("[0-9]"), c).otherwise((F.ascii(c) - 55).cast("string"))), "")
+    return relaid(v, F.concat(country, F.lpad((98 - mod_of(digits, 97)).cast("string"), 2, "0"), body))
 
 
 def ip(v: Column, s: Column) -> Column:
     """Private, loopback and other special addresses keep what makes them so; public ones stay public."""
     part = F.split(v, r"\.")
-    last = [_draw(s, F.lit(i), 254) + 1 for i in range(4)]
+    last = [draw(s, F.lit(i), 254) + 1 for i in range(4)]
     private = F.when(v.rlike(r"^(?:10|127)\."), F.concat_ws(".", part[0], last[1].cast("string"), last[2].cast("string"), last[3].cast("string")))
     private = private.when(v.rlike(r"^(?:192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."), F.concat_ws(".", part[0], part[1], last[2].cast("string"), last[3].cast("string")))
     # Blocks that are kept for documentation: nobody's.
-    public = F.concat(F.element_at(F.array(F.lit("192.0.2."), F.lit("198.51.100."), F.lit("203.0.113.")), _draw(s, F.lit(5), 3) + 1), last[3].cast("string"))
+    public = F.concat(F.element_at(F.array(F.lit("192.0.2."), F.lit("198.51.100."), F.lit("203.0.113.")), draw(s, F.lit(5), 3) + 1), last[3].cast("string"))
     return F.when(v.rlike(r"^[0-9.]+$"), private.otherwise(public)).otherwise(shaped(v, s))
 
 
@@ -97,8 +58,8 @@ def email(v: Column, s: Column) -> Column:
 
 def date(v: Column, s: Column) -> Column:
     """The same layout: day and month up to 12 so that either order is a date, a year from 1940 on."""
-    year = (1940 + _draw(s, F.lit(7), 65)).cast("string")
-    two = lambda i: F.lpad((_draw(s, F.lit(i), 12) + 1).cast("string"), 2, "0")
+    year = (1940 + draw(s, F.lit(7), 65)).cast("string")
+    two = lambda i: F.lpad((draw(s, F.lit(i), 12) + 1).cast("string"), 2, "0")
     mark = F.regexp_extract(v, "([./-])", 1)
     return F.when(v.rlike("^[0-9]{4}"), F.concat(year, mark, two(1), mark, two(2))).otherwise(F.concat(two(1), mark, two(2), mark, F.when(v.rlike("[0-9]{4}$"), year).otherwise(F.substring(year, 3, 2))))
 
@@ -114,7 +75,8 @@ def fake(v: Column, category: Column, key: str) -> Column:
     s = seed(key, category, v)
     return (
         F.when(category == "card", card(v, s))
-        .when(category == "iban", F.when(v.rlike("^[A-Za-z]{2}[0-9]{2}"), iban(v, s)).otherwise(shaped(v, s)))
+        .when((category == "iban") & v.rlike("^[A-Za-z]{2}[0-9]{2}"), iban(v, s))
+        .when(category.isin(*checksummed.CATEGORIES), F.coalesce(checksummed.substitute(v, s, category), shaped(v, s)))
         .when(category == "ip", ip(v, s))
         .when(category == "email", email(v, s))
         .when(category.isin("dob", "date"), date(v, s))
@@ -131,8 +93,8 @@ def with_fakes(text: Column, vault: Column, key: str) -> Column:
     """
     offered = F.transform(vault, lambda e: F.struct(e["placeholder"].alias("token"), e["value"].alias("value"), e["category"].alias("category"), fake(e["value"], e["category"], key).alias("fake")))
 
-    def chosen(e: Column) -> Column:
+    def chosen(e: Column, offered: Column) -> Column:
         clash = F.contains(text, e["fake"]) | (F.length(e["fake"]) < 4) | F.exists(offered, lambda o: (o["token"] != e["token"]) & (F.contains(o["fake"], e["fake"]) | F.contains(e["fake"], o["fake"])))
         return F.struct(F.when(F.coalesce(clash, F.lit(True)), e["token"]).otherwise(e["fake"]).alias("placeholder"), e["value"].alias("value"), e["category"].alias("category"))
 
-    return F.transform(offered, chosen)
+    return let(offered, lambda all_: F.transform(all_, lambda e: chosen(e, all_)))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import checks
+from .functions.drawing import seed
 from .functions.text import scrubbed, windows
-from .operators import addresses, analytics, detect, dictionary, evaluate, gates, labels, memory, merge, replay, reports, restoring, rewrite, scope, skeleton
+from .operators import addresses, analytics, checksummed, detect, dictionary, evaluate, gates, labels, memory, merge, replay, reports, restoring, rewrite, scope, skeleton
 from .operators.rules import PORTABLE, catalogue
 from .sources import files, tabular
 
@@ -689,3 +690,30 @@ def ip_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substitutes of the documents' addresses that keep networks together."""
     found = _doc_spans(spark, sf_dir, "doc_id").filter("type = 'ipv4'").select("value").distinct()
     return found.select("value", addresses.mapped(F.col("value"), "benchmark key").alias("substitute"))
+
+
+def _passes(name: Column, value: Column) -> Column:
+    """Whether a value passes the check of a name, by the checks that detection uses."""
+    out = F.when(F.lit(False), F.lit(None).cast("boolean"))
+    for n in checksummed.NAMES:
+        out = out.when(name == n, checks.CHECKS[n](value))
+    return out
+
+
+@query(
+    f"""SELECT c_custkey, [{", ".join(f"'{s['name']}'" for s in checksummed.SCHEMES)}][c_custkey % {len(checksummed.SCHEMES)} + 1] AS scheme, true AS original_valid, true AS valid, true AS changed, true AS same_marks FROM customer"""
+)
+def checked_fakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer gets a number of one of the schemes, in groups of four, and a substitute of it; both pass the scheme's check. A number with a mark of its own isn't grouped."""
+    key = F.col("c_custkey")
+    one = detect.spread(_t(spark, sf_dir, "customer")).select("c_custkey", F.pmod(key, F.lit(len(checksummed.SCHEMES))).cast("int").alias("n"))
+    names = F.split(F.lit(",".join(s["name"] for s in checksummed.SCHEMES)), ",")
+    made = one.select("c_custkey", F.get(names, "n").alias("scheme"), checksummed.specimen(seed("benchmark key", "customer", key.cast("string")), F.col("n")).alias("v"))
+    spaced = made.select("c_custkey", "scheme", F.when(F.col("scheme") == "fi_hetu", F.col("v")).otherwise(F.regexp_replace("v", "(.{4})(?=.)", "$1 ")).alias("v"))
+    both = spaced.withColumn("new", checksummed.substitute(F.col("v"), seed("benchmark key", F.col("scheme"), F.col("v")), name=F.col("scheme")))
+    marks = lambda c: F.regexp_replace(c, "[0-9A-Za-z]", "x")
+    # Both go through the checks as rows: the checks stand in the plan once.
+    told = both.select("c_custkey", "scheme", (F.col("new") != F.col("v")).alias("changed"), (marks("new") == marks("v")).alias("same_marks"), F.posexplode(F.array("v", "new")).alias("i", "value"))
+    told = told.withColumn("ok", _passes(F.col("scheme"), F.col("value")))
+    one = lambda i: F.bool_and(F.when(F.col("i") == i, F.col("ok")))
+    return told.groupBy("c_custkey", "scheme").agg(one(0).alias("original_valid"), one(1).alias("valid"), F.bool_and("changed").alias("changed"), F.bool_and("same_marks").alias("same_marks"))

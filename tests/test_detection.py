@@ -86,7 +86,7 @@ EXAMPLES = [
     ("jp_my_number", "123456789018", "123456789019"),
     ("kr_rrn", "971013-2019903", "971013-2019904"),
     ("br_pis", "120.57457.89-5", "120.57457.89-6"),
-    ("lu_matricule", "1980010112300", "1980010112310"),
+    ("lu_matricule", "1980010112302", "1980010112303"),
     ("cn_uscc", "91350100M000100Y43", "91350100M000100Y44"),
     ("mx_curp", "BOXW310820HNERXN09", "BOXW310820HNERXN08"),
     ("co_nit", "213.123.432-1", "213.123.432-2"),
