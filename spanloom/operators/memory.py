@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import cosine, normalized
+from ..functions.text import normalized
 
 #: Queries searched in one pass over the rows: what a pass broadcasts is bounded by it.
 QUERY_BLOCK = 4096
+#: Rows in a block of a key's vectors, about, and of a block whose products with another's are held at once; partitions of blocks, at most.
+CELL, STRIP, MOST_PARTS = 4096, 256, 4096
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -68,18 +70,119 @@ def _best_of(queries: pd.DataFrame, k: int):
 
 
 def similar_pairs(rows: DataFrame, least: float, key: str) -> DataFrame:
-    """a, b, similarity of pairs within a key of at least that cosine, a before b.
+    """a, b, key, similarity of pairs within a key of at least that cosine, a before b.
 
-    Angles to a fixed direction differ by no more than the pair's own angle, so a pair lies in one band of that width or in
-    neighbouring ones: an equal join on key and band finds it.
+    A key's rows go in blocks of CELL by their ids' hashes; two blocks meet in one cell, whose products are made STRIP rows at a time. So all pairs are
+    computed, in tasks of bounded size, and a row is shuffled as often as its key has blocks. Rows without an id, a key or a length have no pairs, nor
+    have vectors of different sizes.
     """
-    width = float(np.arccos(least)) + 1e-9
-    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine(F.col("embedding"), F.transform("embedding", lambda x, i: F.when(i % 2 == 0, 1.0).otherwise(-1.0))))))
-    banded = rows.filter(angle.isNotNull()).select("vec_id", key, "embedding", F.floor(angle / width).alias("_band"))
-    a = banded.select(F.col("vec_id").alias("a"), key, F.col("embedding").alias("_e"), F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"))
-    b = banded.select(F.col("vec_id").alias("b"), key, F.col("embedding").alias("_f"), "_band")
-    pairs = a.join(b, [key, "_band"]).filter(F.col("a") < F.col("b"))
-    return pairs.select("a", "b", key, F.round(cosine(F.col("_e"), F.col("_f")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField(key, kinds[key]), T.StructField("similarity", T.DoubleType())])
+    return _cells(rows, key).mapInArrow(lambda x: _pairs_of(x, least, schema.names), schema)
+
+
+def similar_links(rows: DataFrame, least: float, key: str) -> DataFrame:
+    """a, b: enough of the links of similar_pairs to connect what they connect; a cell gives fewer than it has rows."""
+    return _cells(rows, key).mapInArrow(lambda x: _links_of(x, least), "a long, b long")
+
+
+def _cells(rows: DataFrame, key: str) -> DataFrame:
+    """_key, _dim, _lo, _hi, _second, _id, _e: the rows of both blocks of each cell (_lo, _hi) together, the second block's last."""
+    base = rows.select(F.col(f"`{key}`").alias("_key"), F.size("embedding").alias("_dim"), F.col("vec_id").cast("long").alias("_id"), F.col("embedding").alias("_e"))
+    base = base.filter(F.col("_key").isNotNull() & F.col("_id").isNotNull() & F.exists("_e", lambda x: x != 0) & F.forall("_e", lambda x: x.isNotNull() & ~F.isnan(x)))
+    many = F.ceil(F.col("_n") / CELL)
+    sizes = base.groupBy("_key", "_dim").agg(F.count("*").alias("_n")).select("_key", "_dim", many.alias("_blocks"))
+    cells = sizes.agg(F.sum(F.col("_blocks") * (F.col("_blocks") + 1) / 2)).first()[0] or 1
+    # Groups of more than one block: at most one for each CELL rows.
+    large = F.broadcast(sizes.filter("_blocks > 1"))
+    held = base.join(large, ["_key", "_dim"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    held = held.withColumn("_block", F.pmod(F.xxhash64("_id"), "_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    dealt = held.select("_key", "_dim", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), (F.col("_block") > F.col("_other")).alias("_second"), "_id", "_e")
+    cell = ["_key", "_dim", "_lo", "_hi"]
+    parts = max(2 * rows.sparkSession.sparkContext.defaultParallelism, min(int(cells), MOST_PARTS))
+    return dealt.repartition(parts, *cell).sortWithinPartitions(*cell, "_second")
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, np.ndarray, np.ndarray, int, bool]]:
+    """Of each cell its key, ids and unit vectors, how many of them are of the first block, and whether the cell is one block with itself."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def joined():
+        t = pa.Table.from_batches(held)
+        e = t["_e"].combine_chunks()
+        v = e.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(e), -1)
+        # Scaled first: squares of very large or small numbers would leave the range.
+        v /= np.abs(v).max(1, keepdims=True)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        second = t["_second"].to_numpy()
+        return t["_key"][0], t["_id"].to_numpy(), v, len(v) - int(second.sum()), t["_lo"][0] == t["_hi"][0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        places = np.stack([code, *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))])
+        begins = [0, *(np.flatnonzero((places[:, 1:] != places[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(begins, begins[1:], strict=False):
+            part = batch.slice(a, b - a)
+            cell = tuple(part.column(i)[0].as_py() for i in range(4))
+            if held and cell != last:
+                yield joined()
+                held = []
+            last = cell
+            held.append(part)
+    if held:
+        yield joined()
+
+
+def _strips(v: np.ndarray, n: int, alone: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of pairs between a cell's two blocks and their cosines, STRIP rows of the first block at a time."""
+    for at in range(0, n, STRIP):
+        shift = at if alone else n
+        s = v[at : min(at + STRIP, n)] @ v[shift:].T
+        # What rounds to the bound is at the bound.
+        i, j = np.nonzero(s >= least - 1e-6)
+        close = np.round(s[i, j], 6)
+        good = (close >= least) & (i < j) if alone else close >= least
+        yield i[good] + at, j[good] + shift, close[good]
+
+
+def _pairs_of(batches: Iterator[pa.RecordBatch], least: float, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for key, ids, v, n, alone in _whole_cells(batches):
+        for i, j, close in _strips(v, n, alone, least):
+            x, y = ids[i], ids[j]
+            apart = x != y
+            x, y, close = x[apart], y[apart], close[apart]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.repeat(key, len(x)), pa.array(close)], names=names)
+
+
+def _links_of(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for _, ids, v, n, alone in _whole_cells(batches):
+        label = np.arange(len(ids))
+        for i, j, _ in _strips(v, n, alone, least):
+            label = _connected(label, i, j)
+        low = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(low, label, ids)
+        a, b = low[label], ids
+        apart = a != b
+        if apart.any():
+            yield pa.RecordBatch.from_arrays([pa.array(a[apart]), pa.array(b[apart])], names=["a", "b"])
+
+
+def _connected(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels, each the place of one of its component, after links between places i and j."""
+    while True:
+        x, y = label[i], label[j]
+        new = label.copy()
+        np.minimum.at(new, np.maximum(x, y), np.minimum(x, y))
+        new = new[label]
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def lexical(cards: DataFrame, words: list[str], k: int = 4) -> DataFrame:
