@@ -362,7 +362,7 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings")
-    return memory.clusters(e.select(F.col("vec_id").alias("id")), memory.similar_pairs(e, LIKE, "label"))
+    return memory.clusters(e.select(F.col("vec_id").alias("id")), memory.similar_links(e, LIKE, "label"))
 
 
 @query(
