@@ -1,4 +1,4 @@
-"""Detection: documents to spans, in the JVM and without a shuffle.
+"""Detection: documents to spans, without a shuffle and in the JVM, but for the test of what a large catalogue's rules can match (gatekeeper).
 
 A rule's matches are marked in the text by two control characters and the text is split at
 them; every second part is a value and the parts before it give its place, in code points. A text is scanned
@@ -10,7 +10,7 @@ Null and empty texts have no spans. Extra columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
@@ -19,23 +19,28 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let, scanned
 from ..functions.checks import CHECKS
+from . import gatekeeper
 from .dictionary import scan
 from .rules import Rule
 
+#: Rules with more strings than this look for them in one pass in Arrow batches, others one after the other in the JVM.
+FEW = 48
 OPEN, CLOSE = "\x01", "\x02"
 SPAN = "struct<start:int,end:int,value:string,type:string,category:string,rank:int>"
 
 
 def _clean(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "  ")
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(F.contains(whole, F.lit(OPEN)) | F.contains(whole, F.lit(CLOSE)), F.translate(whole, OPEN + CLOSE, "  ")).otherwise(whole)
 
 
-def _can_match(rule: Rule) -> Column:
-    """Over _clean, _low, _1 and _6: cheap tests first, a search for a string costs far less than one for a pattern."""
+def _can_match(rule: Rule, gate: Callable[[Rule], list[Column]] | None = None) -> Column:
+    """Over _clean, _low, _1 and _6: cheap tests first, a search for a string costs far less than one for a pattern. gate gives tests that take the strings' place."""
     out = None
+    strings = [reduce(or_, [F.contains(F.col("_low"), F.lit(x)) for x in sorted(rule.literals)])] if rule.literals and gate is None else []
     for x in (
         F.col(f"_{rule.digits}") if rule.digits else None,
-        reduce(or_, [F.contains(F.col("_low"), F.lit(x)) for x in sorted(rule.literals)]) if rule.literals else None,
+        *(gate(rule) if gate else strings),
         F.col("_clean").rlike(rule.probe or rule.regex) if not rule.literals and (rule.probe or not rule.digits) else None,
     ):
         if x is not None:
@@ -43,10 +48,26 @@ def _can_match(rule: Rule) -> Column:
     return out
 
 
-def _pieces(text: Column, rule: Rule, rank: int) -> Column:
+def _gated(rules: Sequence[Rule]) -> tuple[Callable[[Rule], list[Column]], Column]:
+    """What each rule asks of _gates, and the expression of _gates over _low. A rule of alternatives asks for what one of them holds."""
+    either = {r: frozenset().union(*(s for s, n in r.branches if n < gatekeeper.RUN)) for r in rules if not r.literals and r.branches and all(n >= gatekeeper.RUN or s and min(map(len, s)) > 2 for s, n in r.branches)}
+    groups = sorted({tuple(sorted(s)) for s in [*(r.literals for r in rules), *either.values()] if s})
+    number = {g: i for i, g in enumerate(groups)}
+
+    def gate(rule: Rule) -> list[Column]:
+        open_ = lambda strings: gatekeeper.is_open(F.col("_gates"), number[tuple(sorted(strings))])
+        run = gatekeeper.is_open(F.col("_gates"), len(groups))
+        if rule in either:
+            return [reduce(or_, ([open_(either[rule])] if either[rule] else []) + ([run] if any(n >= gatekeeper.RUN for _, n in rule.branches) else []))]
+        return ([open_(rule.literals)] if rule.literals else []) + ([run] if rule.run >= gatekeeper.RUN else [])
+
+    return gate, gatekeeper.open_gates(F.col("_low"), groups)
+
+
+def _pieces(text: Column, rule: Rule, rank: int, gate: Callable[[Rule], list[Column]] | None = None) -> Column:
     """A rule's number and the text split at its matches; null where it can't match."""
     marked = F.regexp_replace(text, rule.regex, f"$1{OPEN}$2{CLOSE}")
-    return F.struct(F.lit(rank).alias("rank"), F.when(_can_match(rule), F.split(marked, f"[{OPEN}{CLOSE}]", -1)).alias("parts"))
+    return F.struct(F.lit(rank).alias("rank"), F.when(_can_match(rule, gate), F.split(marked, f"[{OPEN}{CLOSE}]", -1)).alias("parts"))
 
 
 def _placed(found: Column) -> Column:
@@ -80,15 +101,19 @@ def with_spans(docs: DataFrame, rules: Sequence[Rule], text: str = "text", into:
     rules = list(rules)
     used = sorted({r.check for r in rules if r.check})
     # Digits that stand together, with at most one other character between two.
-    clean = docs.withColumn("_clean", _clean(F.col(f"`{text}`"))).withColumns({"_low": F.lower("_clean"), "_1": F.col("_clean").rlike("[0-9]"), "_6": F.col("_clean").rlike("[0-9](?s:.?[0-9]){5}")})
-    split = clean.withColumn("_found", F.filter(F.array(*[_pieces(F.col("_clean"), r, i) for i, r in enumerate(rules)]), lambda x: x["parts"].isNotNull()))
+    clean = docs.withColumn("_clean", _clean(F.col(f"`{text}`"))).withColumns({"_low": F.lower("_clean"), "_1": F.col("_clean").rlike("[0-9]")}).withColumn("_6", F.col("_1") & F.col("_clean").rlike("[0-9](?s:.?[0-9]){5}"))
+    gate = None
+    if sum(len(r.literals) for r in rules) > FEW:
+        gate, opened = _gated(rules)
+        clean = clean.withColumn("_gates", opened)
+    split = clean.withColumn("_found", F.filter(F.array(*[_pieces(F.col("_clean"), r, i, gate) for i, r in enumerate(rules)]), lambda x: x["parts"].isNotNull()))
     placed = split.withColumn("_found", F.flatten(F.transform("_found", _placed)))
     if used:
         checks = _names([r.check or "" for r in rules])
         placed = placed.withColumn("_found", F.filter("_found", lambda s: _passes(F.element_at(checks, s["rank"] + 1), s["value"], used)))
     types, categories = _names([r.type for r in rules]), _names([r.category for r in rules])
     named = F.transform("_found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.element_at(types, s["rank"] + 1).alias("type"), F.element_at(categories, s["rank"] + 1).alias("category"), s["rank"].alias("rank")))
-    return placed.withColumn(into, named if rules else F.array().cast(f"array<{SPAN}>")).drop("_clean", "_low", "_1", "_6", "_found")
+    return placed.withColumn(into, named if rules else F.array().cast(f"array<{SPAN}>")).drop("_clean", "_low", "_1", "_6", "_gates", "_found")
 
 
 def claimed(spans: Column) -> Column:

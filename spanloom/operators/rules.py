@@ -72,6 +72,19 @@ class Rule:
         """How many digits a value has at least, with at most one other character between them: 6, 1 or 0."""
         return next((n for n in (6, 1) if _holds(self.pattern, n)), 0)
 
+    @cached_property
+    def run(self) -> int:
+        """How many letters, digits, dashes and underscores (ASCII) a match has in a row at least."""
+        return max(_in_a_row(self.before), _in_a_row(self.pattern))
+
+    @cached_property
+    def branches(self) -> tuple[tuple[frozenset[str], int], ...]:
+        """The strings and the run of each alternative of a pattern that is nothing but alternatives without groups; none of any other."""
+        inner = self.pattern[3:-1]
+        if not (self.pattern.startswith("(?:") and self.pattern.endswith(")")) or re.search(r"[()\\]|\[[^\]]*\|", inner):
+            return ()
+        return tuple((required(x), _in_a_row(x)) for x in inner.split("|"))
+
     @property
     def regex(self) -> str:
         """With the value as the second group, behind that of what comes before it."""
@@ -80,6 +93,43 @@ class Rule:
         return rf"()(?<![A-Za-z0-9_])({self.pattern})(?![A-Za-z0-9_])" if self.bounded else f"()({self.pattern})"
 
 
+def _in_a_row(pattern: str) -> int:
+    """The least length of the longest run of ASCII letters, digits, dashes and underscores in a match, as far as the pattern tells."""
+
+    def plain(op, args) -> bool:
+        if op is _constants.LITERAL:
+            return args < 128 and (chr(args).isalnum() or chr(args) in "-_")
+        if op is _constants.RANGE:
+            return args[1] < 128 and all(chr(c).isalnum() or chr(c) in "-_" for c in range(args[0], args[1] + 1))
+        return op is _constants.CATEGORY and args in (_constants.CATEGORY_WORD, _constants.CATEGORY_DIGIT)
+
+    def of(items) -> tuple[int, int, bool]:
+        """The longest run, the least length, and whether all of it is one run."""
+        best, row, size, pure = 0, 0, 0, True
+        for op, args in items:
+            if op in (_constants.AT, _constants.ASSERT, _constants.ASSERT_NOT):
+                continue
+            inside, n, one = 0, 1, False
+            if op is _constants.IN:
+                one = all(plain(*a) for a in args)
+            elif op is _constants.LITERAL:
+                one = plain(op, args)
+            elif op is _constants.SUBPATTERN:
+                inside, n, one = of(args[-1])
+            elif op is _constants.BRANCH:
+                each = [of(x) for x in args[1]]
+                inside, n, one = min(x[0] for x in each), min(x[1] for x in each), all(x[2] for x in each)
+            elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT):
+                inside, n, one = of(args[2])
+                inside, n = (inside if args[0] else 0), n * args[0]
+            row, pure = (row + n, pure) if one else (0, False)
+            size += n
+            best = max(best, row, inside)
+        return best, size, pure
+
+    return of(_parser.parse(re.sub(r"\\p\{\w+\}", ".", pattern)))[0]
+
+
 def _holds(pattern: str, n: int) -> bool:
     """Whether any match has n digits with at most one character between neighbours, as far as the pattern's groups tell."""
 
