@@ -31,6 +31,8 @@ IGNORABLE = [
 ]
 #: The full-width forms of the printable ASCII characters, and how far they lie above them.
 WIDE, ABOVE = (0xFF01, 0xFF5E), 0xFEE0
+#: Characters of texts whose skeletons are held at once, beside a single longer text.
+SLICE = 1 << 20
 SKELETON = T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.ArrayType(T.IntegerType())), T.StructField("end", T.ArrayType(T.IntegerType()))])
 
 _RANGES = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in IGNORABLE)
@@ -80,11 +82,23 @@ def skeleton(text: str | None) -> tuple[str, np.ndarray, np.ndarray] | None:
     return "".join(out), np.concatenate(starts), np.concatenate(ends)
 
 
+def _slices(batch: pd.Series) -> Iterator[pd.Series]:
+    """A batch's texts in order, as many at once as have SLICE characters together, one at least: its skeletons' places are many times its own size."""
+    begin, held = 0, 0
+    for i, x in enumerate(batch):
+        n = len(x) if x is not None else 0
+        if i > begin and held + n > SLICE:
+            yield batch.iloc[begin:i]
+            begin, held = i, 0
+        held += n
+    yield batch.iloc[begin:]
+
+
 @F.pandas_udf(SKELETON)
 def _skeletons(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
-        found = [skeleton(x) or (None, None, None) for x in batch]
-        yield pd.DataFrame(found, columns=["text", "start", "end"])
+        for part in _slices(batch):
+            yield pd.DataFrame([skeleton(x) or (None, None, None) for x in part], columns=["text", "start", "end"])
 
 
 def with_skeleton(docs: DataFrame, text: str = "text", into: str = "skeleton") -> DataFrame:
