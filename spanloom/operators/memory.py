@@ -16,6 +16,8 @@ from ..functions.text import normalized
 
 #: Queries searched in one pass over the rows: what a pass broadcasts is bounded by it.
 QUERY_BLOCK = 4096
+#: Queries and rows whose products are held at once.
+TILE = 1024
 #: Rows in a block of a key's vectors, about, and of a block whose products with another's are held at once; partitions of blocks, at most.
 CELL, STRIP, MOST_PARTS = 4096, 256, 4096
 
@@ -49,22 +51,34 @@ def _best_of(queries: pd.DataFrame, k: int):
         if not len(queries):
             return
         q, ids = _unit(queries["embedding"]), queries["vec_id"].to_numpy()
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            batch = batch[batch["embedding"].notna()]
-            if not len(batch):
-                continue
-            s = np.round(q @ _unit(batch["embedding"]).T, 6)
-            others = batch["vec_id"].to_numpy()
-            # A query and k others at least, and all that tie with the last of them.
-            edge = np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] if len(batch) > k + 1 else np.full(len(ids), -np.inf)
-            at, near = np.nonzero(s >= edge[:, None])
-            found = pd.DataFrame({"query_id": ids[at], "vec_id": others[near], "similarity": s[at, near]})
-            found = found[found["query_id"] != found["vec_id"]]
-            held = found if held is None else pd.concat([held, found])
-            held = held.sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if held is not None:
-            yield held
+        held: list[pd.DataFrame | None] = [None] * -(-len(ids) // TILE)
+        # What a row must reach to be among a query's best k so far.
+        floor = np.full(len(ids), -np.inf)
+        for whole in batches:
+            whole = whole[whole["embedding"].notna()]
+            for begin in range(0, len(whole), TILE):
+                batch = whole.iloc[begin : begin + TILE]
+                others, rows = batch["vec_id"].to_numpy(), _unit(batch["embedding"]).T
+                for b, first in enumerate(range(0, len(ids), TILE)):
+                    part = slice(first, first + TILE)
+                    s = np.round(q[part] @ rows, 6)
+                    # A query and k others at least, and all that tie with the last of them.
+                    edge = np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] if len(batch) > k + 1 else np.full(len(s), -np.inf)
+                    at, near = np.nonzero(s >= np.maximum(edge, floor[part])[:, None])
+                    if not len(at):
+                        continue
+                    found = pd.DataFrame({"_q": at, "query_id": ids[part][at], "vec_id": others[near], "similarity": s[at, near]})
+                    found = found[found["query_id"] != found["vec_id"]]
+                    if held[b] is not None:
+                        found = pd.concat([held[b], found])
+                    best = found.sort_values(["_q", "similarity", "vec_id"], ascending=[True, False, True])
+                    nth = best.groupby("_q").cumcount()
+                    last = best[nth == k - 1]
+                    floor[first + last["_q"].to_numpy()] = last["similarity"].to_numpy()
+                    held[b] = best[nth < k]
+        for some in held:
+            if some is not None:
+                yield some.drop(columns="_q")
 
     return run
 
