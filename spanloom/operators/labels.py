@@ -1,6 +1,6 @@
 """Values that a label announces: `label: value` lines, and blocks of labels that are followed by as many values.
 
-Labels are looked up without case, accents and a colon at their end. All is done in a document's row by array expressions.
+Labels are looked up without case, accents and a colon at their end. All is done in a document's row by array expressions, and each line is looked up once.
 A null or empty text has no fields; repeated fields are given as often as they are there, in order.
 """
 
@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import fold_accents
 
 #: Labels of forms in English, French, German and Spanish, by what they announce. Another mapping may be passed.
@@ -46,10 +47,9 @@ def _bare(label: Column) -> Column:
 
 def fields(text: Column, labels: Mapping[str, tuple[str, ...]] = LABELS) -> Column:
     """array<struct<label, category, value>>: `label: value` in a line, or a label with a colon and its value in the next line, if that is no label."""
-    lines = _lines(text, labels)
     head = lambda x: F.trim(F.regexp_extract(x["line"], r"^([^:=]{1,40}?)\s*[:=]\s*(.+)$", 1))
 
-    def found(x: Column, i: Column) -> Column:
+    def found(lines: Column, x: Column, i: Column) -> Column:
         own = F.struct(head(x).alias("label"), _category(head(x), labels).alias("category"), F.trim(F.regexp_extract(x["line"], r"^([^:=]{1,40}?)\s*[:=]\s*(.+)$", 2)).alias("value"))
         after = F.get(lines, i + 1)
         # A line with a label of its own is no value.
@@ -57,15 +57,13 @@ def fields(text: Column, labels: Mapping[str, tuple[str, ...]] = LABELS) -> Colu
         below = F.struct(_bare(x["line"]).alias("label"), x["category"].alias("category"), after["line"].alias("value"))
         return F.when(own["category"].isNotNull(), own).when(x["category"].isNotNull() & x["line"].endswith(":") & free, below)
 
-    return F.filter(F.transform(lines, found), lambda s: s.isNotNull()).cast(FIELD)
+    return let(_lines(text, labels), lambda lines: F.filter(F.transform(lines, lambda x, i: found(lines, x, i)), lambda s: s.isNotNull())).cast(FIELD)
 
 
 def blocks(text: Column, labels: Mapping[str, tuple[str, ...]] = LABELS) -> Column:
     """array<struct<label, category, value>>: LEAST to MOST lines that are labels only and then as many lines with values, matched in order."""
-    lines = _lines(text, labels)
-    is_label = F.transform(lines, lambda x: x["category"].isNotNull())
 
-    def zipped(x: Column, i: Column) -> Column:
+    def zipped(lines: Column, is_label: Column, x: Column, i: Column) -> Column:
         begins = x["category"].isNotNull() & ~F.coalesce(F.get(is_label, i - 1), F.lit(False))
         many = F.greatest(F.array_position(F.slice(is_label, i + 1, MOST + 1), False) - 1, F.lit(0)).cast("int")
         values = F.slice(lines, i + 1 + many, many)
@@ -73,4 +71,8 @@ def blocks(text: Column, labels: Mapping[str, tuple[str, ...]] = LABELS) -> Colu
         pairs = F.zip_with(F.slice(lines, i + 1, many), values, lambda a, b: F.struct(_bare(a["line"]).alias("label"), a["category"].alias("category"), b["line"].alias("value")))
         return F.when(begins & (many >= LEAST), F.when(whole, pairs))
 
-    return F.flatten(F.filter(F.transform(lines, zipped), lambda s: s.isNotNull())).cast(FIELD)
+    def blocked(lines: Column) -> Column:
+        flags = F.transform(lines, lambda x: x["category"].isNotNull())
+        return let(flags, lambda is_label: F.filter(F.transform(lines, lambda x, i: zipped(lines, is_label, x, i)), lambda s: s.isNotNull()))
+
+    return F.flatten(let(_lines(text, labels), blocked)).cast(FIELD)

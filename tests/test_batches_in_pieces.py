@@ -27,6 +27,6 @@ def test_skeletons_of_a_batch_are_made_in_slices(monkeypatch):
     monkeypatch.setattr(skeleton, "SLICE", 10)
     texts = pd.Series(["a" * 4, None, "b" * 6, "c", "d" * 30, "", "e"])
     parts = [list(x) for x in skeleton._slices(texts)]
-    assert parts == [["aaaa", None, "bbbbbb"], ["c"], ["d" * 30, ""], ["e"]] and [len(x) for x in skeleton._slices(pd.Series([], dtype=object))] == [0]
+    assert parts == [["aaaa", None, "bbbbbb"], ["c"], ["d" * 30], ["", "e"]] and [len(x) for x in skeleton._slices(pd.Series([], dtype=object))] == [0]
     made = list(skeleton._skeletons.func(iter([pd.Series(["１２" * 4, "x", "３" * 9, None])])))
     assert [len(x) for x in made] == [2, 2] and made[0]["text"].tolist() == ["12" * 4, None] and made[1]["text"].tolist() == ["3" * 9, None]
