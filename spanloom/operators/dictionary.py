@@ -91,8 +91,8 @@ class Automaton:
                 seen[anchors >> np.uint64(64 - bits)] = True
                 self.by_size[a] = (seen, np.uint64(64 - bits), anchors, np.append(at, len(pairs)), pairs["length"].astype(np.int64), keys[order], own[order])
 
-    def places(self, text: str, at_edges: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
-        """start, end and number of every value in the text; at_edges tells the places where one may begin."""
+    def places(self, text: str, at_edges: np.ndarray | None = None, ends: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+        """start, end and number of every value in the text; at_edges tells the places where one may begin, ends those before which one may end."""
         for begin in range(0, len(text), BLOCK):
             part = text[begin : begin + BLOCK + self.longest]
             inside = min(BLOCK, len(text) - begin)
@@ -115,18 +115,29 @@ class Automaton:
                     fits = at + length <= len(part)
                     at, length = at[fits], length[fits]
                     key = _key(h[at], h[at + length - a], length)
-                    lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-                    for s, m, x, y in zip(at[hi > lo].tolist(), length[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                        for number in numbers[x:y].tolist():
-                            if part[s : s + m] == self.names[number]:
-                                yield begin + s, begin + s + m, number
+                    lo, n = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+                    n -= lo
+                    if ends is not None:
+                        n[~ends[begin + at + length]] = 0
+                    which = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    for s, m, number in zip(np.repeat(at, n).tolist(), np.repeat(length, n).tolist(), numbers[which].tolist(), strict=True):
+                        if part[s : s + m] == self.names[number]:
+                            yield begin + s, begin + s + m, number
+
+
+#: Whether each character is one of WORD; -1 until it is met.
+_IS_WORD = np.full(0x110000, -1, np.int8)
 
 
 def _word_flags(text: str) -> np.ndarray:
     """Whether each character is a letter, a digit or an underscore; False at both ends beyond the text."""
-    codes, where = np.unique(_codes(text), return_inverse=True)
-    flags = np.array([WORD.match(chr(c)) is not None for c in codes.tolist()], bool)
-    return np.concatenate([[False], flags[where] if len(codes) else np.zeros(0, bool), [False]])
+    codes = _codes(text)
+    flags = _IS_WORD[codes]
+    if (flags < 0).any():
+        for c in np.unique(codes[flags < 0]).tolist():
+            _IS_WORD[c] = WORD.match(chr(c)) is not None
+        flags = _IS_WORD[codes]
+    return np.concatenate([[False], flags.astype(bool), [False]])
 
 
 def _separated(value: str) -> frozenset[int]:
@@ -156,9 +167,8 @@ class Matcher:
     def found(self, text: str) -> Iterator[tuple[int, int, str]]:
         word = _word_flags(text) if self.edges else None
         free = ~word[:-2] if self.edges else None
-        for s, e, i in self.plain.places(text, free):
-            if word is None or not word[e + 1]:
-                yield s, e, self.plain.values[i]
+        for s, e, i in self.plain.places(text, free, None if word is None else ~word[1:]):
+            yield s, e, self.plain.values[i]
         if self.folded is None or not self.folded.values:
             return
         letters, at = squeezed(text)

@@ -80,3 +80,14 @@ def test_exact_secrets_are_found_anywhere(spark):
     docs = spark.createDataFrame([(1, "xhunter22y user:pass1.", "v"), (2, None, "v"), (3, "abc", "v")], "doc_id long, text string, value string")
     secrets = spark.createDataFrame([(" hunter22 ",), ("user:pass1",), ("abc",), (None,), ("hunter22",)], "value string")
     assert sorted(map(tuple, detect.exact(docs, secrets, "doc_id").collect())) == [(1, "hunter22"), (1, "user:pass1")]
+
+
+def test_values_that_may_not_end_are_not_compared():
+    """What ends inside a word is turned away by arrays, before it is handled one by one."""
+    from spanloom.operators.dictionary import Matcher
+
+    matcher = Matcher(["th", "the", "the end", "é"], True, False)
+    text = "the then th the end. théé é"
+    assert sorted(matcher.found(text)) == [(0, 3, "the"), (9, 11, "th"), (12, 15, "the"), (12, 19, "the end"), (26, 27, "é")]
+    ends = [not (c.isalnum() or c == "_") for c in text + " "]
+    assert {text[s:e] for s, e, _ in matcher.plain.places(text, None, __import__("numpy").array(ends))} == {"th", "the", "the end", "é"}
