@@ -45,8 +45,8 @@ WIDTH, END = 2048, 1
 CUT_DOCUMENT, CUT_SENTENCE, CUT_INSIDE = 0, 8, 48
 #: Tokens packed at a time, and how far apart places within a sentence are at which it may be cut.
 RUN, GRID = 1 << 19, 32
-#: Pieces of text whose ids a Python worker remembers (about 100 MB).
-REMEMBERED = 500_000
+#: Pieces of text whose ids a task remembers: so many new ones and as many of those before (together about 40 MB).
+REMEMBERED = 1 << 17
 
 
 class Encoder:
@@ -61,21 +61,31 @@ class Encoder:
         special = {"<|endoftext|>": 50256}
         self._special = set(special)
         self._encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        # When the new pieces are full they become the old ones, and the old ones that haven't recurred are forgotten.
         self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         #: Whether a token ends a sentence or a line.
         self.ends = np.zeros(50257, bool)
         for token, i in ranks.items():
             self.ends[i] = token.rstrip(b" \"')").endswith((b".", b"!", b"?", b"\n"))
 
+    def forget(self) -> None:
+        """The pieces go with the task: its worker lives on and would hold them through the stages that follow."""
+        self._known, self._old = {}, {}
+
     def _encode(self, piece: str) -> bytes:
         return np.array(self._encoding.encode(piece, allowed_special=self._special), np.uint32).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         found = self._known.get(piece)
         if found is None:
-            # No piece holds a special token.
-            found = array("I", self._encoding.encode_ordinary(piece)).tobytes()
-            if len(self._known) < REMEMBERED and len(piece) < 64:
+            found = self._old.get(piece)
+            if found is None:
+                # No piece holds a special token.
+                found = array("I", self._encoding.encode_ordinary(piece)).tobytes()
+            if len(piece) < 64:
+                if len(self._known) >= REMEMBERED:
+                    self._old, self._known = self._known, {}
                 self._known[piece] = found
         return found
 
@@ -108,7 +118,7 @@ class Encoder:
 
 @lru_cache(1)
 def encoder() -> Encoder:
-    """One for a Python worker, so that tasks after the first find its words known."""
+    """One for a Python worker, so that tasks after the first needn't read the tokens."""
     return Encoder()
 
 
@@ -231,6 +241,7 @@ def _packed(names: list[str], width: int, batches: Iterator[pa.RecordBatch]) ->
         last = part
     if last is not None:
         rows += packer.pack(True)
+    own_encoder.forget()
     if rows:
         yield batch()
 

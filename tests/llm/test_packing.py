@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,29 @@ def test_ids_are_the_tokenizers():
     assert got == tokens(TEXTS)
 
 
+def test_a_worker_remembers_few_pieces_and_those_that_recur():
+    encoder, n = packing.Encoder(), 300_000
+    words = [f"w{i:x}" for i in range(n)]
+    texts = [" ".join(["often", *words[i : i + 1000]]) for i in range(0, n, 1000)]
+    got = [np.frombuffer(encoder.encode(x), np.uint32).tolist() for x in texts]
+    held = [v for v in vars(encoder).values() if isinstance(v, dict)]
+    assert sum(map(len, held)) <= 1 << 18
+    assert any("often" in x for x in held) and any(" " + words[-1] in x for x in held) and not any(" " + words[1] in x for x in held)
+    some = [*range(0, len(texts), 29), len(texts) - 1]
+    assert [[*got[i], 1] for i in some] == tokens([texts[i] for i in some])
+
+
+def test_a_worker_forgets_its_pieces_after_a_task(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(50)], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        list(packing._packed(["doc_id"], 2048, batches))
+        left = sum(len(v) for v in vars(packing.encoder()).values() if isinstance(v, dict))
+        yield pa.RecordBatch.from_pylist([{"doc_id": left}], pa.schema([("doc_id", pa.int64())]))
+
+    assert [r.doc_id for r in docs.select("doc_id", "text").mapInArrow(held, "doc_id long").collect()] == [0]
+
+
 def test_every_token_lies_in_one_piece(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "no id", "x"), (3, "a", "x")], "doc_id long, text string, length string")
     rows = packing.pack(docs).collect()
