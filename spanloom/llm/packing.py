@@ -12,9 +12,10 @@ sliding range is the head of a queue of rising values. A run's last window is
 carried over to the next run, so only a partition's last one may be short; it is not
 padded where its length is a power of two.
 
-Tokens are those of a public byte-level BPE, followed by END. Words recur, so
-pieces between single spaces and line ends are encoded once and looked up;
-texts with other white space are encoded whole. Both give the tokenizer's own ids.
+Tokens are those of a public byte-level BPE, followed by END. Words recur, so of the
+pieces between single spaces and line ends of about 2 MB of text each distinct one is
+looked up once, and those not known are encoded in one call; texts with other white
+space are encoded whole. Both give the tokenizer's own ids.
 
 Defined cases: a null text is empty: its only token is END. Repeated rows are
 packed each. An empty table gives no rows. A text of any length is cut freely;
@@ -26,18 +27,20 @@ from __future__ import annotations
 
 import base64
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import text_arrays
 from .common import column
 
 WIDTH, END = 2048, 1
@@ -45,8 +48,10 @@ WIDTH, END = 2048, 1
 CUT_DOCUMENT, CUT_SENTENCE, CUT_INSIDE = 0, 8, 48
 #: Tokens packed at a time, and how far apart places within a sentence are at which it may be cut.
 RUN, GRID = 1 << 19, 32
-#: Pieces of text whose ids a task remembers: so many new ones and as many of those before (together about 40 MB).
+#: Pieces of the last slice of text whose ids a task remembers at most (about 20 MB).
 REMEMBERED = 1 << 17
+#: Texts that are encoded whole: empty ones, and those with white space that isn't a single space or line end within, or with what may be a special token.
+WHOLE = r"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]|<\||[\x00-\x09\x0B-\x1F\x7F-\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 class Encoder:
@@ -61,9 +66,8 @@ class Encoder:
         special = {"<|endoftext|>": 50256}
         self._special = set(special)
         self._encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        # When the new pieces are full they become the old ones, and the old ones that haven't recurred are forgotten.
-        self._known: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._line = ranks[b"\n"]
+        self.forget()
         #: Whether a token ends a sentence or a line.
         self.ends = np.zeros(50257, bool)
         for token, i in ranks.items():
@@ -71,49 +75,76 @@ class Encoder:
 
     def forget(self) -> None:
         """The pieces go with the task: its worker lives on and would hold them through the stages that follow."""
-        self._known, self._old = {}, {}
-
-    def _encode(self, piece: str) -> bytes:
-        return np.array(self._encoding.encode(piece, allowed_special=self._special), np.uint32).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        found = self._known.get(piece)
-        if found is None:
-            found = self._old.get(piece)
-            if found is None:
-                # No piece holds a special token.
-                found = array("I", self._encoding.encode_ordinary(piece)).tobytes()
-            if len(piece) < 64:
-                if len(self._known) >= REMEMBERED:
-                    self._old, self._known = self._known, {}
-                self._known[piece] = found
-        return found
+        self._known: dict[str, int] = {}
+        self._ids, self._lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, text: str) -> bytes:
-        pieces = self._pieces(text)
-        if pieces is None:
-            return self._encode(text)
-        return b"".join(map(self._piece, pieces))
-
-    @staticmethod
-    def _pieces(text: str) -> list[str] | None:
-        """Parts of the text between which no token and no split of the tokenizer lies; None where white space isn't single.
+        return next(self.encode_all(pa.array([text]))).tobytes()
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = pc.match_substring_regex(texts, WHOLE)
+        ids, bounds = self._in_pieces(*text_arrays.texts(texts.filter(pc.invert(whole))))
+        places = iter(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        for text, alone in zip(texts, whole.to_pylist(), strict=True):
+            if alone:
+                yield self._encoding.encode_to_numpy(text.as_py(), allowed_special=self._special)
+            else:
+                begin, end = next(places)
+                yield ids[begin:end]
+
+    def _in_pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that aren't encoded whole, one after the other, and the bounds between them.
 
         A single space between two other characters always begins a new piece,
         and a single line end between two is one of its own.
         """
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or not text.isprintable() and not text.replace("\n", "").isprintable():
-            return None
-        if text[:1] in " \n" or text[-1:] in " \n":
-            return None
-        # What isn't printable includes every other white space; so only spaces and line ends are left.
-        out: list[str] = []
-        for line in text.split("\n"):
-            out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + x for x in rest]
-        return out[1:]
+        line = data == 10
+        begin = line | (data == 32)
+        begin[1:] |= line[:-1]
+        begin[offsets[:-1]] = True
+        starts = np.flatnonzero(begin)
+        buffers = [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), buffers).dictionary_encode()
+        ids, lengths = self._distinct(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        if len(data) > text_arrays.SLICE_BYTES:
+            # A long text's pieces may be long, too.
+            self.forget()
+        which = pieces.indices.to_numpy()
+        ends = np.cumsum(lengths[which])
+        return _runs(ids, (np.cumsum(lengths) - lengths)[which], lengths[which]), np.append(0, ends)[np.searchsorted(starts, offsets)]
+
+    def _distinct(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, one after the other, and how many each has.
+
+        Those that the last slice hadn't are encoded in one call, as lines, since a line end is a token of its own.
+        """
+        at = np.fromiter(map(self._known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        old, new = at >= 0, at < 0
+        if "\n" in pieces:
+            i = pieces.index("\n")
+            old[i] = new[i] = False
+        # No piece holds a special token.
+        made = self._encoding.encode_to_numpy("\n".join(["", *compress(pieces, new.tolist())]), disallowed_special=())
+        lines = np.append(np.flatnonzero(made == self._line), len(made))
+        pool = np.concatenate([made, self._ids, np.array([self._line], np.uint32)])
+        starts, lengths = np.full(len(pieces), len(pool) - 1), np.ones(len(pieces), np.int64)
+        starts[new], lengths[new] = lines[:-1] + 1, np.diff(lines) - 1
+        starts[old], lengths[old] = len(made) + (np.cumsum(self._lengths) - self._lengths)[at[old]], self._lengths[at[old]]
+        ids = _runs(pool, starts, lengths)
+        self._known = dict(zip(pieces, range(REMEMBERED), strict=False))
+        self._lengths = lengths[: len(self._known)]
+        self._ids = ids[: self._lengths.sum()]
+        return ids, lengths
+
+
+def _runs(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ids that begin at starts, one after the other. There are fewer than 2^31, as an Arrow text has fewer bytes."""
+    ends = np.cumsum(lengths)
+    place = np.repeat((starts - ends + lengths).astype(np.int32), lengths)
+    place += np.arange(len(place), dtype=np.int32)
+    return ids[place]
 
 
 @lru_cache(1)
@@ -229,12 +260,11 @@ def _packed(names: list[str], width: int, batches: Iterator[pa.RecordBatch]) ->
         return pa.RecordBatch.from_arrays([*head, *(pa.array(c, pa.int64()) for c in columns)], names=[*names, *PIECES.names])
 
     more, kind = len(names) > 1, pa.int64()
-    for part in batches:
+    for part in (x for b in batches for x in text_arrays.slices([b], b.schema.names[-1])):
         own = part.select(names)
         ids = own.column(0).to_pylist()
-        for i, text in enumerate(part.column(part.num_columns - 1)):
-            tokens = np.frombuffer(own_encoder.encode(text.as_py() or "") + b"\1\0\0\0", np.uint32)
-            rows += packer.add((own, i) if more else ids[i], tokens)
+        for i, tokens in enumerate(own_encoder.encode_all(part.column(part.num_columns - 1))):
+            rows += packer.add((own, i) if more else ids[i], np.append(tokens, np.uint32(END)))
             if len(rows) >= 20_000:
                 yield batch()
                 rows.clear()

@@ -59,6 +59,54 @@ def test_ids_are_the_tokenizers():
     assert got == tokens(TEXTS)
 
 
+def test_ids_of_a_batch_are_the_tokenizers():
+    r, encoder = random.Random(8), packing.Encoder()
+    spaces = [chr(c) for c in range(0x11000) if chr(c).isspace()]
+    odd = ["a", "B", "é", "'s", "'ll", "12", ".", "!?", "<|", "<|endoftext|>", "\u0301", "\u200b", "\ufeff", "🙂", "\x00", "\x7f", "\xad", "-" * 70]
+    for plain in (True, False):
+        between = [" ", " ", "\n"] if plain else [" ", "\n", "  ", "\n\n", " \n", "\n ", *spaces]
+        texts = ["".join(r.choice(odd) + r.choice(["", "", r.choice(between)]) for _ in range(r.randint(0, 30))) for _ in range(700)]
+        texts += [f"a{x}b" for x in spaces] + [f"a b{x}" for x in spaces] + [f"{x}b c" for x in spaces] + [None, ""]
+        for part in (texts, texts[::-1], texts[350:], []):
+            got = [[*ids.tolist(), 1] for ids in encoder.encode_all(pa.array(part, pa.string()))]
+            assert got == tokens(part)
+
+
+class Counted:
+    def __init__(self, of):
+        self.of, self.calls = of, 0
+
+    def __getattr__(self, name):
+        self.calls += name.startswith("encode")
+        return getattr(self.of, name)
+
+
+def test_the_new_pieces_of_a_slice_are_encoded_at_once(monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    encoder = packing.Encoder()
+    encoder._encoding = Counted(encoder._encoding)
+    monkeypatch.setattr(packing, "encoder", lambda: encoder)
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    texts = [" ".join(f"w{1000 * i + k:x}" for k in range(1000)) for i in range(400)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "text": texts})
+    pieces = pa.Table.from_batches(packing._packed(["doc_id"], 2048, iter([batch]))).to_pylist()
+    assert sum(x["length"] for x in pieces) == sum(map(len, tokens(texts)))
+    assert encoder._encoding.calls <= 5
+
+
+def test_a_long_text_is_forgotten():
+    encoder = packing.Encoder()
+    next(encoder.encode_all(pa.array(["few words\n" * 2 + "end"])))
+    assert encoder._known
+    text = " ".join(f"{i:x}" + "y" * 100 for i in range(30_000))
+    ids = next(encoder.encode_all(pa.array([text])))
+    assert [[*ids.tolist(), 1]] == tokens([text])
+    assert not encoder._known and not len(encoder._ids)
+
+
 def test_a_worker_remembers_few_pieces_and_those_that_recur():
     encoder, n = packing.Encoder(), 300_000
     words = [f"w{i:x}" for i in range(n)]
